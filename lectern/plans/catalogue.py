@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lectern.plans import error_analysis, language, scoring, streams  # noqa: F401  (they register their queries)
+from lectern.plans.base import QUERIES, SQL  # noqa: F401
