@@ -38,7 +38,7 @@ def speaker_code(speaker: Column) -> Column:
 
 def record_ties(rows: DataFrame) -> DataFrame:
     """(utt_id, recording, codes): one row per record."""
-    own = F.when(F.col("dataset") == "l2arctic", speaker_code(F.split("utt_id", "_", -1)[1]))
+    own = F.when(F.col("dataset") == "l2arctic", speaker_code(F.get(F.split("utt_id", "_", -1), F.lit(1))))
     return (
         rows.filter(F.col("utt_id").isNotNull())
         .select("utt_id", F.regexp_replace("utt_id", "_[^_]*$", "").alias("recording"), speaker_code(F.col("speaker")).alias("said"), own.alias("own"))
