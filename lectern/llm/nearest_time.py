@@ -16,8 +16,8 @@ AQE splits what is still skewed.
 Defined results: entities match without case and outer blanks and tabs; NULL entities never match;
 left times must be numbers >= 0; spans need both ends (NaN counts as missing), swapped ends are
 put in order; the distance is 0 inside the span (ends included), else that to the nearer end, and
-must be at most the tolerance; ties go to the earlier start, then the smaller span id. Repeated
-left ids count once (with their nearest pair), repeated spans change nothing. An empty table gives
+must be at most the tolerance; ties go to the later end, then the earlier start, then the smaller
+span id. Repeated left ids count once (with their nearest pair), repeated spans change nothing. An empty table gives
 an empty result. Further columns are ignored.
 """
 
@@ -55,7 +55,7 @@ def tick_candidates(spans: DataFrame, tolerance: float, tick: float) -> DataFram
     ticks = ticks.withColumn("start", start)
     # the order that decides: the longest span, or the first start; then the tie rule
     late = F.col("start") == -2.0
-    rank = F.struct(F.when(late, F.col("lo")).otherwise(-F.col("hi")).alias("k"), F.col("lo").alias("lo"), F.col("span_id").alias("span_id"), F.col("hi").alias("hi"))
+    rank = F.struct(F.when(late, F.col("lo")).otherwise(-F.col("hi")).alias("k"), F.when(late, -F.col("hi")).otherwise(F.col("lo")).alias("then"), F.col("span_id").alias("span_id"), F.col("lo").alias("lo"), F.col("hi").alias("hi"))
     best = ticks.groupBy("entity", "tick", "start").agg(F.min(rank).alias("b"))
     return best.groupBy("entity", "tick").agg(F.collect_list(F.struct(F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"), F.col("b.span_id").alias("span_id"))).alias("spans"))
 
@@ -67,7 +67,7 @@ def nearest_spans(left: DataFrame, spans: DataFrame, tolerance: float = 0.15, ti
     distance = lambda s: F.greatest(F.lit(0.0), s["lo"] - F.col("t"), F.col("t") - s["hi"])
     scored = left.join(candidates, ["entity", "tick"]).select(
         "left_id",
-        F.array_min(F.transform("spans", lambda s: F.struct(distance(s).alias("d"), s["lo"].alias("lo"), s["span_id"].alias("span_id")))).alias("m"),
+        F.array_min(F.transform("spans", lambda s: F.struct(distance(s).alias("d"), (-s["hi"]).alias("end"), s["lo"].alias("lo"), s["span_id"].alias("span_id")))).alias("m"),
     )
     within = scored.filter(F.col("m.d") <= tolerance + EPSILON).select("left_id", F.col("m.span_id").alias("span_id"), F.col("m.d").alias("distance"))
     return within.groupBy("left_id").agg(F.min_by("span_id", F.struct("distance", "span_id")).alias("span_id"), F.min("distance").alias("distance"))

@@ -132,12 +132,14 @@ def pack(documents: DataFrame, capacity: int = 2048, open_windows: int = 64, tok
     """(window, doc_id, piece, piece_start, n_tokens, window_start, fill): every document's pieces.
 
     ``fill`` is the number of tokens in the window; a merging task takes about ``merge_windows``
-    leftover windows.
+    leftover windows, at least four times ``open_windows``.
     """
     texts = documents.filter("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long"), "text")
     level = stored(texts.mapInArrow(_pack("p", capacity, open_windows, _sized_documents(capacity, tokenizer), True), _PIECES), "windows-0")
     done = [level.filter("NOT is_open")]
     number = 0
+    # each level leaves at most open_windows of merge_windows windows open, a quarter or less
+    merge_windows = max(merge_windows, 4 * open_windows)
     while True:
         number += 1
         leftover = level.filter("is_open")

@@ -143,7 +143,7 @@ WITH p AS (SELECT DISTINCT lower(trim(utt_id, ' ' || chr(9))) AS u, x.phone_id A
            FROM (SELECT utt_id, unnest(phones) AS x FROM phone_annotations)
            WHERE x.xmin IS NOT NULL AND x.xmax IS NOT NULL AND lower(regexp_replace(x.err_type, '^\\s+|\\s+$', '', 'g')) IN ('s', 'd', 'a')),
 e AS (SELECT DISTINCT error_id, lower(trim(utt_id, ' ' || chr(9))) AS u, approx_time_s AS t FROM error_rows WHERE approx_time_s >= 0 AND NOT isnan(approx_time_s)),
-j AS (SELECT error_id, phone_id, greatest(0.0, lo - t, t - hi) AS d, row_number() OVER (PARTITION BY error_id ORDER BY greatest(0.0, lo - t, t - hi), lo, phone_id) AS rn FROM e JOIN p USING (u))
+j AS (SELECT error_id, phone_id, greatest(0.0, lo - t, t - hi) AS d, row_number() OVER (PARTITION BY error_id ORDER BY greatest(0.0, lo - t, t - hi), hi DESC, lo, phone_id) AS rn FROM e JOIN p USING (u))
 """
 
 _P5 = f"""
