@@ -99,7 +99,7 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
 def speaker_files(spark: SparkSession, root: str, folder: str, suffix: str) -> DataFrame:
     """(speaker, stem, value): whole files <root>/<speaker>/<folder>/<stem>.<suffix>."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(root)
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*.{suffix}")
     name = F.col("_metadata.file_path")
     at = rf"/([^/]+)/{folder}/([^/]+)\.{suffix}$"
     return rows.select(F.regexp_extract(name, at, 1).alias("speaker"), F.regexp_extract(name, at, 2).alias("stem"), "value").filter("speaker <> ''")

@@ -15,13 +15,13 @@ _INTERVAL = re.compile(r'xmin\s*=\s*(\S+)\s*xmax\s*=\s*(\S+)\s*text\s*=\s*"((?:[
 
 
 def decode(content: bytes) -> str:
-    """UTF-8, else UTF-16, else Latin-1."""
-    for name in ("utf-8", "utf-16"):
-        try:
-            return content.decode(name)
-        except UnicodeError:
-            continue
-    return content.decode("latin-1")
+    """UTF-16 with a byte order mark, else UTF-8, else Latin-1."""
+    if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return content.decode("utf-16", errors="replace")
+    try:
+        return content.decode("utf-8-sig")
+    except UnicodeError:
+        return content.decode("latin-1")
 
 
 def _long(text: str) -> Iterator[tuple]:

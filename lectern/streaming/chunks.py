@@ -27,10 +27,11 @@ def emitted_words(words: Column, slack: float = SLACK) -> Column:
     return F.aggregate(ordered, begin, step, lambda s: s["kept"])
 
 
-def emit_stream(words: DataFrame, key: str = "utt_id", slack: float = SLACK) -> DataFrame:
+def emit_stream(words: DataFrame, key: str = "utt_id", slack: float = SLACK, timeout_ms: int | None = 3_600_000) -> DataFrame:
     """The same on a stream of rows (key, win_end, start, end, w): a word is emitted if it begins no
     earlier than the key's last end and ends within its window. State is one number a key; it
-    times out after an hour without rows.
+    goes after ``timeout_ms`` without rows. None keeps it, for streams that end by themselves: with
+    a timeout Spark waits for further rows.
 
     Rows of a key must arrive in order of their windows."""
 
@@ -46,10 +47,11 @@ def emit_stream(words: DataFrame, key: str = "utt_id", slack: float = SLACK) ->
                 kept.append((name[0], r.w, r.start, r.end))
                 last = max(last, r.end)
         state.update((last,))
-        state.setTimeoutDuration(3_600_000)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(kept, columns=[key, "w", "start", "end"])
 
-    return words.groupBy(key).applyInPandasWithState(run, f"{key} string, w string, start double, end double", "last double", "append", "ProcessingTimeTimeout")
+    return words.groupBy(key).applyInPandasWithState(run, f"{key} string, w string, start double, end double", "last double", "append", "NoTimeout" if timeout_ms is None else "ProcessingTimeTimeout")
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:

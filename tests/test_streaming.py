@@ -20,8 +20,11 @@ def test_emission_of_a_stream_equals_that_of_a_batch(spark, tmp_path):
     for i, part in enumerate((WORDS[:2], WORDS[2:])):
         spark.createDataFrame([("u", 9.0, s, e, w) for w, s, e in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"part={i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    q = emit_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
+    q = emit_stream(stream, timeout_ms=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(60)
+    finally:
+        q.stop()
     assert sorted(r.w for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "d", "e"]
 
 
