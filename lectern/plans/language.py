@@ -269,3 +269,50 @@ def cluster_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Paired bootstrap over speakers, whose sums are aggregated first."""
     r = rescoring.rescored(nbest(spark, d), FUSION).groupBy(cluster_key().alias("cluster"))
     return _significance(r.agg(F.sum("n_ref").alias("n_ref"), F.sum("edits_baseline").alias("e_base"), F.sum("edits_adapted").alias("e_adapt")), "cluster")
+
+
+# ---- further ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_TRAIN} SELECT gram, round((n + {ADD_K}) / ((SELECT total FROM m) + {ADD_K} * (SELECT v FROM m)), 9) AS p FROM n WHERE k = 1")
+def unigram_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """Smoothed unigram estimates of the model's vocabulary."""
+    model = trained(spark, d)
+    total, vocabulary = model.totals()
+    return model.counts.filter("k = 1").select("gram", F.round((F.col("n") + ADD_K) / F.lit(total + ADD_K * vocabulary), 9).alias("p"))
+
+
+@query(f"WITH {U}, r AS (SELECT utt_id, row_number() OVER (ORDER BY md5('lm|' || utt_id), utt_id) AS r FROM u WHERE lower(trim(split)) = 'train') SELECT utt_id, r <= greatest(1, CAST(floor((SELECT count(*) FROM r) * 0.1) AS BIGINT)) AS held_out FROM r")
+def train_heldout_split(spark: SparkSession, d: str) -> DataFrame:
+    u = stored(utterances(spark, d).filter("lower(trim(split)) = 'train'").select("utt_id"), "train-ids")
+    return sampling.first_by_hash(u, "utt_id", "lm", share=0.1).select("utt_id", F.col("chosen").alias("held_out"))
+
+
+@query(f"WITH {U}, r AS (SELECT utt_id, row_number() OVER (ORDER BY md5('pick|' || utt_id), utt_id) AS r FROM u WHERE duration_s BETWEEN 2 AND 30 AND trim(text) <> '') SELECT utt_id FROM r WHERE r <= 100")
+def accept_until_k(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred in hash order that pass the filter."""
+    u = stored(utterances(spark, d).filter(F.col("duration_s").between(2, 30) & (F.trim("text") != "")).select("utt_id"), "valid-ids")
+    return sampling.first_by_hash(u, "utt_id", "pick", count=100).filter("chosen").select("utt_id")
+
+
+_DIFF = "list_transform(hyp, lambda t, i: CASE WHEN ref[i] IS NOT DISTINCT FROM t THEN t ELSE upper(t) END)"
+
+
+@query(f"WITH {PAIRS}, x AS (SELECT hyp_id, hyp, {_DIFF} AS t FROM p WHERE pos = 0) SELECT hyp_id, array_to_string(CASE WHEN len(hyp) > 7 THEN list_concat(list_concat(t[1:3], ['…']), t[-3:]) ELSE t END, ' ') AS display FROM x")
+def hypothesis_display(spark: SparkSession, d: str) -> DataFrame:
+    """Hypotheses cut for display, with the words that differ from the reference in upper case."""
+    from lectern.functions.text import shorten
+    from lectern.plans.base import top_pairs
+
+    return top_pairs(spark, d).select("hyp_id", shorten(F.col("hyp"), F.col("ref")).alias("display"))
+
+
+_FIX = f"{H}, o AS (SELECT hyp_id, 'fixed' AS human FROM h WHERE hyp_pos = 0 AND acoustic_score < -0.3)"
+
+
+@query(f"WITH {_FIX} SELECT h.hyp_id, coalesce(human, 'auto') AS human, CASE WHEN human IS NULL THEN 'Y' ELSE 'N' END AS agree FROM h LEFT JOIN o USING (hyp_id)")
+def override_join(spark: SparkSession, d: str) -> DataFrame:
+    """Corrections keyed by id over automatic values; what isn't corrected agrees."""
+    h = hypotheses(spark, d).select("hyp_id", "hyp_pos", "acoustic_score")
+    o = h.filter("hyp_pos = 0 AND acoustic_score < -0.3").select("hyp_id", F.lit("fixed").alias("human"))
+    return h.join(o, "hyp_id", "left").select("hyp_id", F.coalesce("human", F.lit("auto")).alias("human"), F.when(F.col("human").isNull(), "Y").otherwise("N").alias("agree"))
