@@ -9,8 +9,11 @@
    are alignments (document, item, offset) at which some window holds all its rarest terms.
 3. At these alignments all other terms of the item are looked up in the index, and consecutive
    positions are put together into runs: those of ``run`` words or more are exact phrase matches.
-4. Proximity matches come from an index of runs in the items' vocabulary: documents that hold most
-   of an item's rarest terms near their places relative to each other, whether or not as a phrase.
+4. Proximity matches come from an index of every token in the items' vocabulary. The rarer terms of
+   each window of 24 words are probed; where a few stand near their places relative to each other
+   all terms of the window are looked up, and half of them must be there, whether or not as a
+   phrase: so every phrase match is a proximity match too. Documents that hold half of a whole
+   item's rarest terms in that way match as well.
 
 Held-out items are a fixed query set; they are taken in blocks of ``block_words`` words, and only
 a block's vocabulary is sent to the executors. Documents are read whole; a term in every document
@@ -22,6 +25,7 @@ nothing; repeated ids are united; empty tables give empty results. Further colum
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,7 +42,8 @@ _INDEX = "term int, doc_id long, positions array<int>"
 
 def _postings(vocabulary: dict[str, int], pairs: list[int] | None, run: int):
     """Postings of the tokens in runs of ``run`` words that are in the vocabulary and, if ``pairs``
-    is given (first * len(vocabulary) + second), of which each two neighbours are such a pair."""
+    is given (first * len(vocabulary) + second), of which each two neighbours are such a pair.
+    With a ``run`` of 1 they are those of every token in the vocabulary."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, size = vocabulary.get, len(vocabulary)
@@ -58,12 +63,15 @@ def _postings(vocabulary: dict[str, int], pairs: list[int] | None, run: int):
                 key = term[at] * size + term[at + 1]
                 slot = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 linked[at[known[slot] != key]] = False
-            edge = np.diff(np.concatenate(([0], linked.astype(np.int8), [0])))
-            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            long = last - first + 1 >= run
-            if not long.any():
+            if run > 1:
+                edge = np.diff(np.concatenate(([0], linked.astype(np.int8), [0])))
+                first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                long = last - first + 1 >= run
+                at = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b + 1) for a, b in zip(first[long], last[long]))])
+            else:
+                at = np.flatnonzero(term >= 0)
+            if not len(at):
                 continue
-            at = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[long], last[long])])
             doc = np.searchsorted(begin, at, side="right") - 1
             order = np.lexsort((at, term[at], doc))
             at, doc = at[order], doc[order]
@@ -96,27 +104,30 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[dict[int, list[list[
         yield block
 
 
-def _alignments(documents: DataFrame, block: dict[int, list[list[str]]], run: int, probes: int, item_probes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """(index, item words (part, q, term), probed hits) of one block. With ``item_probes`` so many
-    terms of the whole item are probed, in a wider index, in place of ``probes`` of each window."""
+def _coded(block: dict[int, list[list[str]]], least: int) -> tuple[list[tuple[int, list[int]]], dict[str, int]]:
+    """([(item, its terms)], vocabulary) of the block's texts of ``least`` words or more."""
+    vocabulary: dict[str, int] = {}
+    return [(item, [vocabulary.setdefault(w, len(vocabulary)) for w in ws]) for item, texts in block.items() for ws in texts if len(ws) >= least], vocabulary
+
+
+def _lengths(index: DataFrame) -> dict[int, int]:
+    """The posting lists' lengths: at most one row for each term of the block."""
+    return {r.term: r.n for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}
+
+
+def _alignments(documents: DataFrame, block: dict[int, list[list[str]]], run: int, probes: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(index, item words (part, q, term), probed hits) of one block."""
     spark = documents.sparkSession
-    parts = [(item, ws) for item, texts in block.items() for ws in texts if len(ws) >= run]
-    if not parts:
+    coded, vocabulary = _coded(block, run)
+    if not coded:
         return None
-    vocabulary: dict[str, int] = {}
-    coded = [(item, [vocabulary.setdefault(w, len(vocabulary)) for w in ws]) for item, ws in parts]
-    pairs = None if item_probes else list({a * len(vocabulary) + b for _, ts in coded for a, b in zip(ts, ts[1:])})
+    pairs = list({a * len(vocabulary) + b for _, ts in coded for a, b in zip(ts, ts[1:])})
     index = positional_index(documents, vocabulary, pairs, run)
-    # at most one row for each term of the block
-    lengths = {r.term: r.n for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    lengths = _lengths(index)
     probed, windows = [], []
     for part, (item, ts) in enumerate(coded):
         chosen = set()
-        if item_probes:
-            of_item = sorted((q for q, t in enumerate(ts) if lengths.get(t, 0)), key=lambda q: (lengths[ts[q]], q))[:item_probes]
-            chosen.update(of_item)
-            windows += [(part, of_item)] * bool(of_item)
-        for s in () if item_probes else range(len(ts) - run + 1):
+        for s in range(len(ts) - run + 1):
             rarest = sorted(range(s, s + run), key=lambda q: (lengths.get(ts[q], 0), q))[:probes]
             if lengths.get(ts[rarest[0]], 0):
                 windows.append((part, rarest))
@@ -155,21 +166,215 @@ def phrase_matches(documents: DataFrame, items: DataFrame, run: int = 12, probes
     return reduce(DataFrame.unionByName, out)
 
 
-def proximity_matches(documents: DataFrame, items: DataFrame, run: int = 6, item_probes: int = 8, slop: int = 8, share: float = 0.5, block_words: int = 500_000) -> DataFrame:
-    """(doc_id, item_id, n_terms, n_probes): at least ``share`` of an item's probed terms stand
-    within ``slop`` words of their places relative to each other."""
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, value) of all values of the ranges starts .. starts + sizes."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[of]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The values in order; a sort is faster here than np.unique's hash table."""
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(len(x[:1]), bool), x[1:] != x[:-1]))]
+
+
+def _finder(coded: list[tuple[int, list[int]]], lengths: dict[int, int], n_terms: int, window: int, probes: int | None, slop: int, share: float, piece: int, sure: int = 5):
+    """A function (row, place, term) -> (row, part, n_terms, n_probes) of tokens in pieces, whose
+    rows ascend and whose places are below ``piece``.
+
+    With ``probes``, ``share`` of a window's so many rarest terms must stand within ``slop`` of each
+    other's places. Without, ``share`` of all its terms must; then at least ``sure`` of all but the
+    most frequent ones do, which are probed first, and the others are looked up at such places."""
+    probe_term, probe_place, first_term, of_window, needs, sizes, spans, begin = [], [], [], [], [], [], [], [0]
+    for _, ts in coded:
+        chosen, first = set(), set()
+        for s in range(max(1, len(ts) - window + 1)):
+            places = range(s, min(s + window, len(ts)))
+            size = min(probes or window, len(places))  # terms without postings are missed ones
+            need = max(1, math.ceil(size * share))
+            rarest = sorted((q for q in places if lengths.get(ts[q], 0)), key=lambda q: (lengths[ts[q]], q))[:size]
+            if len(rarest) < need:
+                continue
+            if not probes:
+                rarest, need = rarest[: len(rarest) - need + min(sure, need)], min(sure, need)
+            chosen.update(rarest)
+            first.update(rarest[: len(rarest) - need + 1])  # a match holds one of these
+            of_window += [(begin[-1] + q, len(needs)) for q in rarest]
+            needs.append(need)
+            sizes.append(size)
+            spans.append((begin[-1] + s, len(places)))
+        for q in sorted(chosen):
+            probe_term.append(ts[q])
+            probe_place.append(begin[-1] + q)
+            first_term.append(q in first)
+        begin.append(begin[-1] + len(ts))
+    if not needs:
+        return None
+    least = min(needs)
+    term, place, is_first = np.array(probe_term, np.int64), np.array(probe_place, np.int64), np.array(first_term, bool)
+    order = np.argsort(term, kind="stable")
+    place, is_first, term = place[order], is_first[order], term[order]
+    low = np.searchsorted(term, np.arange(n_terms + 1))
+    windows_of = np.array(sorted(of_window), np.int64)
+    begin_of = np.array(begin, np.int64)
+    part_of = np.searchsorted(begin_of, place, side="right") - 1
+    shift_of = begin_of[part_of] - place + begin[-1]  # diagonals aren't negative
+    low_window = np.searchsorted(windows_of[:, 0], np.arange(begin[-1] + 1))
+    need_of, size_of = np.array(needs, np.int64), np.array(sizes, np.int64)
+    start_of, length_of = np.array(spans, np.int64).T
+    term_of = np.array([t for _, ts in coded for t in ts], np.int64)
+    n_parts, zero = len(coded), begin[-1]
+
+    def found(row: np.ndarray, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
+        some = low[t + 1] > low[t]
+        row_of, p_of, t_of = row[some], p[some], t[some]
+        of, k = _spread(low[t_of], low[t_of + 1] - low[t_of])
+        # rarest first: only pairs with a hit of a window's first terms
+        pair = row_of[of] * n_parts + part_of[k]
+        alive = np.zeros((row[-1] + 1) * n_parts, bool)
+        alive[pair[is_first[k]]] = True
+        diag = p_of[of] + shift_of[k]
+        n_diags = piece + zero + slop + 1
+        n_bands, n_places = n_diags // (2 * slop) + 2, zero + 1
+        # bands whose hashed cell has too few hits go before anything is sorted
+        may = np.zeros(len(k), bool)
+        cell = pair * n_bands
+        for shift in (0, slop):  # two bands, half a band apart: places within slop share one of them
+            in_cell = (cell + (diag + shift) // (2 * slop)) & (2**18 - 1)
+            may |= (np.bincount(in_cell, minlength=2**18) >= least)[in_cell]
+        may = np.flatnonzero(may)
+        may = may[alive[pair[may]]]
+        pair, diag, k = pair[may], diag[may], k[may]
+        hit = _distinct((pair * n_diags + diag) * n_places + place[k])
+        rest, q = np.divmod(hit, n_places)
+        pair, diag = np.divmod(rest, n_diags)
+        kept = np.zeros(len(hit), bool)
+        for shift in (0, slop):
+            group = pair * n_bands + (diag + shift) // (2 * slop)
+            order = np.argsort(group * n_places + q)
+            g, o = group[order], q[order]
+            j = np.arange(max(0, len(hit) - least + 1))
+            j = j[(g[j] == g[j + least - 1]) & (o[j + least - 1] - o[j] < window)] if least > 1 else j
+            # a place that stands twice in a band counts twice here; what follows is exact
+            kept[order[_spread(j, np.full(len(j), least))[1]]] = True
+            twice = np.flatnonzero((g[1:] == g[:-1]) & (o[1:] == o[:-1]))
+            kept[order[twice]] = kept[order[twice + 1]] = True
+        pair, diag, q = pair[kept], diag[kept], q[kept]
+        # each hit as the least one: the window's probed terms that stand up to slop words further on
+        key = pair * n_diags + diag  # ascending
+        low_key = np.searchsorted(key, key)
+        i, j = _spread(low_key, np.searchsorted(key, key + slop, side="right") - low_key)
+        close = (pair[i] == pair[j]) & (np.abs(q[i] - q[j]) < window)
+        i, j = i[close], j[close]
+        of_hit, w = _spread(low_window[q[j]], low_window[q[j] + 1] - low_window[q[j]])
+        w = windows_of[w, 1]
+        inside = (start_of[w] <= q[i[of_hit]]) & (q[i[of_hit]] < start_of[w] + length_of[w])
+        found_at = _distinct((key[i[of_hit]][inside] * len(need_of) + w[inside]) * zero + q[j[of_hit]][inside] - start_of[w[inside]])
+        at, n = np.unique(found_at // zero, return_counts=True)
+        key, w = np.divmod(at, len(need_of))
+        good = n >= need_of[w]
+        (pair, diag), w, n = np.divmod(key[good], n_diags), w[good], n[good]
+        if probes:
+            return pair // n_parts, pair % n_parts, n, size_of[w]
+        # all terms of the window: first those within slop of that hit, then exactly
+        token = _distinct((row * n_terms + t) * n_diags + p)
+
+        def standing(pair: np.ndarray, w: np.ndarray, least_diag: np.ndarray, width: int) -> np.ndarray:
+            of, o = _spread(start_of[w], length_of[w])
+            here, part = np.divmod(pair[of], n_parts)
+            at = least_diag[of] - zero + o - begin_of[part]
+            base = (here * n_terms + term_of[o]) * n_diags
+            slot = np.searchsorted(token, base + np.maximum(0, at))
+            stands = (at + width >= 0) & (slot < len(token)) & (token[np.minimum(slot, len(token) - 1)] <= base + np.minimum(at + width, n_diags - 1))
+            return np.bincount(of, stands, len(w)).astype(np.int64)
+
+        enough = np.ceil(size_of[w] * share)
+        good = standing(pair, w, diag - slop, 2 * slop) >= enough
+        pair, w, diag, enough = pair[good], w[good], diag[good], enough[good]
+        n = np.max([standing(pair, w, diag - d, slop) for d in range(slop + 1)], axis=0)
+        good = n >= enough
+        return pair[good] // n_parts, pair[good] % n_parts, n[good], size_of[w[good]]
+
+    return found
+
+
+def _near(coded: list[tuple[int, list[int]]], lengths: dict[int, int], n_terms: int, window: int, item_probes: int, slop: int, share: float, piece: int = 2048, at_once: int = 4_000):
+    """Matches of the postings, which come by document. Documents are taken in pieces of ``piece``
+    places, overlapping by more than a match can span, and about ``at_once`` tokens at a time."""
+    longest = max(len(ts) for _, ts in coded)
+    reach = longest + 3 * slop
+    finders = [f for w, probes in ((window, None), (longest, item_probes)) if (f := _finder(coded, lengths, n_terms, w, probes, slop, share, piece + reach))]
+    items = np.array([item for item, _ in coded], np.int64)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(document, places, terms)"""
+        doc, held = None, []
+
+        def cut():
+            p, t = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(p, kind="stable")
+            p, t = p[order], t[order]
+            for a in range(0, int(p[-1]) + 1, piece):
+                i, j = np.searchsorted(p, [a, a + piece + reach])
+                if i < j:
+                    yield doc, p[i:j] - a, t[i:j]
+
+        for batch in batches:
+            docs = batch.column("doc_id").to_numpy()
+            lists = batch.column("positions")
+            counts, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy().astype(np.int64)
+            terms, ends = np.repeat(batch.column("term").to_numpy().astype(np.int64), counts), np.concatenate(([0], np.cumsum(counts)))
+            edges = [0, *(np.flatnonzero(np.diff(docs)) + 1), len(docs)] if len(docs) else []
+            for a, b in zip(edges, edges[1:]):
+                if held and docs[a] != doc:
+                    yield from cut()
+                    held = []
+                doc = docs[a]
+                held.append((flat[ends[a] : ends[b]], terms[ends[a] : ends[b]]))
+        if held:
+            yield from cut()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not finders:
+            return
+        docs, ps, ts, n = [], [], [], 0
+
+        def batch():
+            row = np.repeat(np.arange(len(ps)), [len(p) for p in ps])
+            p, t = np.concatenate(ps), np.concatenate(ts)
+            r, part, n_found, n_probes = (np.concatenate(x) for x in zip(*(f(row, p, t) for f in finders)))
+            columns = [np.array(docs, np.int64)[r], items[part], n_found.astype(np.int32), n_probes.astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "item_id", "n_terms", "n_probes"])
+
+        for doc, p, t in pieces(batches):
+            docs.append(doc)
+            ps.append(p)
+            ts.append(t)
+            n += len(p)
+            if n >= at_once:
+                yield batch()
+                docs, ps, ts, n = [], [], [], 0
+        if n:
+            yield batch()
+
+    return near
+
+
+def proximity_matches(documents: DataFrame, items: DataFrame, run: int = 6, item_probes: int = 8, slop: int = 8, share: float = 0.5, block_words: int = 500_000, window: int = 24) -> DataFrame:
+    """(doc_id, item_id, n_terms, n_probes): at least ``share`` of the terms of some ``window`` words
+    of an item, or of its ``item_probes`` rarest terms, stand within ``slop`` words of their places
+    relative to each other; the numbers are those of the window with most. A run of half a window
+    is a match. Items under ``run`` words match nothing, those under ``window`` are one window."""
     spark = documents.sparkSession
     out = []
     for block in _blocks(items, block_words):
-        found = _alignments(documents, block, run, 1, item_probes)
-        if found is None:
+        coded, vocabulary = _coded(block, run)
+        if not coded:
             continue
-        hits = found[2]
-        of = hits.select("part", "item_id", "doc_id", F.explode("qs").alias("q"), F.size(F.array_distinct(F.flatten("windows"))).alias("n_probes"), "diag")
-        # two bands, half a band apart: places within slop share one of them
-        band = of.select("*", F.explode(F.array(F.struct(F.lit(0).alias("shift"), F.floor(F.col("diag") / (2 * slop)).alias("band")), F.struct(F.lit(1).alias("shift"), F.floor((F.col("diag") + slop) / (2 * slop)).alias("band")))).alias("b"))
-        near = band.groupBy("part", "item_id", "doc_id", "b").agg(F.count_distinct("q").cast("int").alias("n_terms"), F.max("n_probes").alias("n_probes"))
-        out.append(near.filter(F.col("n_terms") >= F.ceil(F.col("n_probes") * share)).groupBy("doc_id", "item_id").agg(F.max("n_terms").alias("n_terms"), F.max("n_probes").alias("n_probes")))
+        index = positional_index(documents, vocabulary, None, 1)
+        near = _near(coded, _lengths(index), len(vocabulary), window, item_probes, slop, share)
+        rows = index.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(near, "doc_id long, item_id long, n_terms int, n_probes int")
+        out.append(rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_terms", "n_probes")).alias("m")).select("doc_id", "item_id", "m.n_terms", "m.n_probes"))
     if not out:
         return spark.createDataFrame([], "doc_id long, item_id long, n_terms int, n_probes int")
     return reduce(DataFrame.unionByName, out)

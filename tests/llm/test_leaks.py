@@ -65,3 +65,38 @@ def test_empty(spark):
     docs, items = make(1)
     assert found(spark, [], items) == set() and found(spark, docs, []) == set()
     assert found(spark, docs, [(1, "only three words", 1)]) == set()
+
+
+def near(spark, docs, items, **options):
+    return {(r.doc_id, r.item_id) for r in passage_leaks.proximity_matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), **options).collect()}
+
+
+def test_proximity_of_parts_and_of_edited_passages(spark):
+    a = [f"a{i}" for i in range(137)]
+    edited = [x for i, w in enumerate(a) for x in ([w, f"zz{i}"] if i % 5 == 4 else [w])]  # no six words without a foreign one
+    texts = [a[70:], a[125:], a[40:52], edited, edited[90:130], ["zz"] * 5000 + a[100:112], a[100:105], a[::9]]
+    docs = [(d, " ".join(ws), 1, "", "") for d, ws in enumerate(texts)]
+    assert near(spark, docs, [(1, " ".join(a), 1)]) == {(d, 1) for d in range(6)}
+
+
+def test_phrase_matches_are_proximity_matches(spark):
+    for seed in (1, 2):
+        docs, items = make(seed, 40)
+        assert brute(docs, items) and brute(docs, items) <= near(spark, docs, items)
+
+
+def test_proximity_finds_all_windows(spark):
+    r = random.Random(3)
+    items = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(40)), 1) for i in range(6)]
+    docs = []
+    for d in range(40):
+        w = words_of(r.choice(items)[1])
+        a, n = r.randrange(20), r.randint(10, 24)
+        part = [x if r.random() < 0.8 else "zz" for x in w[a : a + n]]
+        docs.append((d, " ".join(["zz"] * r.randint(0, 3000) + part), 1, "", ""))
+
+    def same_places(d, i):  # brute force at one offset
+        return any(sum(x == y for x, y in zip(d[o : o + 24], i[s : s + 24])) >= 12 for s in range(17) for o in range(len(d)))
+
+    want = {(d, i) for d, t, *_ in docs for i, x, _ in items if same_places(["-"] * 24 + words_of(t), words_of(x))}
+    assert want and want <= near(spark, docs, items)
