@@ -115,6 +115,31 @@ def perplexity(spark: SparkSession, d: str) -> DataFrame:
     return s.agg(F.round(ngram.perplexity_micro(s), 4).alias("micro"), F.round(macro, 4).alias("macro"))
 
 
+# The reference's model: 4-grams of the guarded corpus (first of equal sentences of manifest and
+# documents, without evaluation sentences). The queries above keep what their SQL states: ORDER-grams
+# of the training texts as they are.
+
+CORPUS_ORDER = 4
+
+
+def trained_on_corpus(spark: SparkSession, d: str) -> ngram.NGramModel:
+    kept = corpus.with_provenance(candidates(spark, d), evaluation(spark, d), "src", ["id", "sent_pos"]).filter("bucket = 'kept'")
+    train = kept.select(F.filter(F.split("norm", " "), lambda t: t != "").alias("t"))
+    return ngram.NGramModel(stored(ngram.ngram_counts(train, "t", CORPUS_ORDER), "corpus-ngram-counts"), CORPUS_ORDER, ADD_K, WEIGHT)
+
+
+@query()
+def corpus_ngram_counts(spark: SparkSession, d: str) -> DataFrame:
+    return trained_on_corpus(spark, d).counts
+
+
+@query()
+def corpus_interpolated_logprob(spark: SparkSession, d: str) -> DataFrame:
+    """The held-out texts under the model of the guarded corpus."""
+    held = utterances(spark, d).filter("lower(trim(split)) IN ('validation', 'dev') AND text IS NOT NULL").select("utt_id", tokens(F.col("text")).alias("t"))
+    return trained_on_corpus(spark, d).logprobs(held, "utt_id", "t").select("utt_id", F.round("logprob", 6).alias("logprob"), F.round("per_word", 6).alias("per_word"))
+
+
 # ---- n-best lists ------------------------------------------------------------------------------
 
 _NBEST = f"""{_TRAIN}, {_score_sql('SELECT hyp_id AS key, hyp AS t FROM p')}, nb AS (SELECT p.utt_id, accent, cefr, CAST(pos AS BIGINT) * 1000000000 + hyp_id AS pos, p.text, acoustic, round(per_word, 9) AS lm, edits, n_ref FROM p JOIN lm ON lm.key = p.hyp_id WHERE n_ref > 0)"""

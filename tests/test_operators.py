@@ -118,3 +118,28 @@ def test_bootstrap(spark):
     draws = sampling.bootstrap(spark.createDataFrame(units, "k string, n_ref int, e_base int, e_adapt int"), "k", 100, "7")
     s = sampling.significance(draws, 100).first()
     assert draws.count() == 100 and s.significant and s.p == 0.0 and s.delta_lo <= s.delta_hi < 0
+
+
+def test_corpus_model_against_plain_python(spark, tmp_path):
+    """4-grams of train texts and documents' lines, without evaluation sentences and repeats."""
+    from lectern.plans import language
+
+    u = [("a", "one two three four", "train"), ("b", "One two, three four!", "train"), ("c", "held out words here", "train"), ("d", "Held out words here", "test"), ("e", "two three four five", "dev"), ("f", "x", "train")]
+    cols = "utt_id string, text string, split string, dataset string, wav_path string, duration_s double, speaker string, accent string, cefr string, loaded_at int"
+    spark.createDataFrame([(*r, "", "", 1.0, "", "", "", 0) for r in u], cols).write.parquet(f"{tmp_path}/utterances.parquet")
+    spark.createDataFrame([(1, "one two three four\nfour five six seven\nheld out words here"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts, order = Counter(), 4
+    for s in ("one two three four", "four five six seven"):
+        t = ["<s>"] * 3 + s.split() + ["</s>"]
+        counts.update((k, " ".join(t[i : i + k])) for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    assert {(r.k, r.gram): r.n for r in language.corpus_ngram_counts(spark, str(tmp_path)).collect()} == counts
+    total, v = sum(n for (k, _), n in counts.items() if k == 1), len({g for k, g in counts if k == 1} - {"<s>"}) + 1
+    t, logprob = ["<s>"] * 3 + "two three four five".split() + ["</s>"], 0.0
+    for i in range(3, len(t)):
+        p = (counts[1, t[i]] + 0.1) / (total + 0.1 * v)
+        for k in range(2, order + 1):
+            h = counts[k - 1, " ".join(t[i - k + 1 : i])]
+            p = 0.7 * counts[k, " ".join(t[i - k + 1 : i + 1])] / h + 0.3 * p if h else p
+        logprob += math.log(p)
+    got = language.corpus_interpolated_logprob(spark, str(tmp_path)).collect()
+    assert [r.utt_id for r in got] == ["e"] and abs(got[0].logprob - logprob) < 1e-5
