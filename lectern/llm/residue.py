@@ -118,15 +118,8 @@ _LONG_SENTENCE = 1500
 _SCRIPT_WORDS = ("script", "js", "skript", "checking your browser")
 _EXCEPTION = re.compile(r"\b\w+(?:Error|Exception)\b:")
 
-#: Every sentence that ``_is_filler`` accepts holds one of these strings.
-_FILL_TRIGGERS = (
-    "lorem", "ipsum", "dolor", "amet", "nulla", "aliqua", "quis ", "magna", "eiusmod", "tempor ",
-    "sample ", "dummy ", "placeholder", "place holder", "filler ", "example ", "blindtext", "nonsense", "platzhalter", "mustertext", "beispieltext",
-    " text", "content", "paragraph", "description", " copy", "body ", "title", "heading", "caption",
-    "asdf", "qwer", "zxcv", "hjkl", "sdfg", "lkjh", "hier steht", "hier kommt", "hier folgt", "hier erscheint",
-    "remplissage", "factice", "provisoire", "exemple", "relleno", "ejemplo", "prueba", "ficticio",
-    "test test", "bla bla", "blah blah", "xxx xxx",
-)
+#: Where filler is looked for sentence by sentence.
+_SEGMENT = re.compile(r"\n|(?<=[.!?]) | - ")
 
 
 def _placeholder(text: str) -> bool:
@@ -150,10 +143,10 @@ def _is_filler(sentence: str) -> bool:
         return False
     if len({w for w in ws if w in _LATIN}) >= 2 and len(ws) >= 3 and 5 * sum(w in _LIVING for w in ws) <= len(ws):
         return True
-    if len(ws) > 16 or sentence.lstrip()[:1] in _OPEN:
+    if sentence.lstrip()[:1] in _OPEN:
         return False
     plain = " ".join(ws).replace("'", " ").replace("’", " ")
-    return bool(_FILLER.fullmatch(plain) or _REPEAT.fullmatch(plain))
+    return bool(_FILLER.fullmatch(plain) or len(set(ws)) <= 3 and _REPEAT.fullmatch(plain))
 
 
 def _without_furniture(sentence: str) -> list[str]:
@@ -191,20 +184,20 @@ def _page(text: str) -> str | None:
     return reason
 
 
+#: One of these is in whatever ``_FURNITURE`` matches in ASCII text, in lower case: each of its alternatives has one.
+_FURNITURE_PARTS = ("skip to", "menu", "home", "share this", "nginx", "apache", "go back", "operator", "owner", "admin", "try again", "request id", "ray", "reference", "incident", "trace id", "lost your way", "policy", "rights reserved")
+
+
+def _split_at_furniture(part: str) -> str:
+    if part.isascii():
+        low = part.lower()
+        if not any(x in low for x in _FURNITURE_PARTS):
+            return part
+    return _FURNITURE.sub("\n", part)
+
+
 def _filler(text: str) -> bool:
-    low = text.lower()
-    if len(low) != len(text):  # lower case changed places: look in the lowered text
-        text = low
-    for trigger in _FILL_TRIGGERS:
-        at = low.find(trigger)
-        while at >= 0:
-            a = max(low.rfind("\n", 0, at), *(low.rfind(x, 0, at) for x in (". ", "! ", "? ", " - "))) + 1
-            ends = [e for x in ("\n", ". ", "! ", "? ", " - ") if (e := low.find(x, at)) >= 0]
-            b = min(ends, default=len(low))
-            if any(_is_filler(x) for x in _SENTENCE.split(_FURNITURE.sub("\n", text[a : b + 1])) if x):
-                return True
-            at = low.find(trigger, max(b, at + 1))
-    return False
+    return any(_is_filler(x) for part in _SEGMENT.split(text) if part for x in _SENTENCE.split(_split_at_furniture(part)) if x)
 
 
 def residue_of(text: str) -> str | None:

@@ -42,3 +42,8 @@ def test_table(spark):
     assert sorted(map(str, residue.residue(df).collect())) == sorted(map(str, [(1, "error"), (None, "filler"), (5, "placeholder")])) or {(r.doc_id, r.reason) for r in residue.residue(df).collect()} == {(1, "error"), (None, "filler"), (5, "placeholder")}
     assert sorted((r.doc_id or 0) for r in residue.without_residue(df).collect()) == [0, 2, 3, 4]
     assert residue.residue(spark.createDataFrame([], schema)).collect() == []
+
+
+@pytest.mark.parametrize("text", ["Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.", "jkl jkl", "dfgh dfgh", "Insert your name here", "Add a sentence", "Contenido provisional", "foo foo foo", "blah " * 20])
+def test_every_accepted_form_is_reported(text):
+    assert residue._is_filler(text) and residue.residue_of(f"{CONTENT}\n{text}\n{CONTENT}") == "filler"
