@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from lectern.functions.distance import align
 from lectern.functions.words import words_of
 from lectern.llm import split_overlap
@@ -53,9 +56,27 @@ def test_all_pairs_and_no_other(spark):
         assert found(spark, rows) == brute(rows)
 
 
-def test_hot_segments_are_salted(spark):
+@pytest.mark.parametrize("least", [1, 3])
+def test_hot_segments_of_either_side_are_cut(spark, monkeypatch, least):
     rows = make(3)
-    assert found(spark, rows, hot_segment=2) == brute(rows)
+    monkeypatch.setattr(split_overlap, "LEAST_HOT", least)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_a_full_bitmap_loses_nothing(spark):
+    rows = make(5)
+    assert found(spark, rows, max_bits=1) == brute(rows)
+
+
+def test_banded_distances():
+    r = random.Random(6)
+    for longest in (3, 9, 40):
+        a, b = ([np.array([r.randrange(4) for _ in range(r.randint(1, longest))], np.int32) for _ in range(300)] for _ in "ab")
+        b = [x if r.random() < 0.5 else np.concatenate((x[:1], x[2:], y[:1])) for x, y in zip(a, b)]
+        most = np.array([r.randint(0, 5) for _ in a])
+        for x, y, m, d in zip(a, b, most, split_overlap.banded_distances(a, b, most)):
+            want = len(align(list(x), list(y)))
+            assert d == want if want <= m else d > m
 
 
 def test_nulls_repeats_long_texts_and_empty_tables(spark):
