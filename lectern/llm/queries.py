@@ -13,7 +13,7 @@ ERROR_FIELDS = ["ref_word", "hyp_word", "pattern_freq"]
 
 def p1_term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and utterances of every term, with its mark."""
-    return term_frequency.term_frequencies(table(spark, folder, "error_rows"), ERROR_FIELDS, "utt_id", "error_id")
+    return term_frequency.term_frequencies(table(spark, folder, "error_rows"), ERROR_FIELDS, "utt_id", "error_id", "logged_at")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

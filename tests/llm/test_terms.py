@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+import pytest
+
 from lectern.functions.words import joined_words_of
 from lectern.llm import term_frequency
 
@@ -67,3 +69,23 @@ def test_very_long_values(spark):
     long = "x" * 200_000
     rows = [{"error_id": i, "utt_id": f"u{i}", "ref_word": long, "hyp_word": None, "pattern_freq": None, "term": "", "n_rows": 0, "kind": 0} for i in range(4)]
     assert found(spark, rows) == [("ref_word", long, 4, 4, "common")]
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_a_row_delivered_again_with_other_values_is_one_row(spark, hot):
+    """The earliest delivery counts, whether or not its record is heavy and wherever its deliveries land."""
+    schema = "error_id long, utt_id string, ref_word string, logged_at int"
+    rows = [(i, "one" if hot else f"u{i}", f"late{i % 7}", 2) for i in range(300)] + [(i, "one" if hot else f"u{i}", f"first{i % 5}", 1) for i in range(300)]
+    rows += [(None, "one" if hot else None, "first0", 1)] * 4
+    want = {(f"first{k}", 60 + 4 * (k == 0), 1 if hot else 60) for k in range(5)}
+    for partitions in (1, 16):
+        df = spark.createDataFrame(rows, schema).repartition(partitions)
+        got = term_frequency.term_frequencies(df, ["ref_word"], "utt_id", "error_id", "logged_at", max_heavy=3, record_salts=16).collect()
+        assert {(r.term, r.n_rows, r.n_records) for r in got} == want
+
+
+def test_a_record_longer_than_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(term_frequency, "CHUNK_ROWS", 5)
+    monkeypatch.setattr(term_frequency, "_detect", lambda rows, fields, top: ([["w1"]] * fields, []))
+    rows = [{"error_id": i // 2, "utt_id": ["a", "b", None][i % 60 // 20], "ref_word": f"w{i % 4 // 2}", "hyp_word": "x", "pattern_freq": None, "term": "", "n_rows": 0, "kind": 0} for i in range(240)]
+    assert found(spark, rows) == sorted(brute(rows, ["ref_word", "hyp_word", "pattern_freq"]), key=str)
