@@ -37,11 +37,49 @@ def test_kept(text):
 
 def test_table(spark):
     schema = "doc_id long, text string, reason string"
-    rows = [(1, "404 Not Found", "clash"), (2, CONTENT, "clash"), (3, None, None), (4, "", ""), (None, "Text text text.", ""), (5, CONTENT * 3000 + "\nDear {{name}}, hello.", ""), (5, CONTENT, "")]
+    rows = [(1, "404 Not Found", "clash"), (2, CONTENT, "clash"), (3, None, None), (4, "", ""), (None, "Text text text.", ""), (None, CONTENT, ""), (5, CONTENT * 3000 + "\nDear {{name}}, hello.", ""), (5, CONTENT, "")]
     df = spark.createDataFrame(rows, schema)
-    assert sorted(map(str, residue.residue(df).collect())) == sorted(map(str, [(1, "error"), (None, "filler"), (5, "placeholder")])) or {(r.doc_id, r.reason) for r in residue.residue(df).collect()} == {(1, "error"), (None, "filler"), (5, "placeholder")}
-    assert sorted((r.doc_id or 0) for r in residue.without_residue(df).collect()) == [0, 2, 3, 4]
-    assert residue.residue(spark.createDataFrame([], schema)).collect() == []
+    assert {(r.doc_id, r.reason) for r in residue.residue(df).collect()} == {(1, "error"), (None, "filler"), (5, "placeholder")}
+    kept = residue.without_residue(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text, r.reason) for r in kept.collect() if r.text) == sorted([("2", CONTENT, "clash"), ("None", CONTENT, ""), ("5", CONTENT, "")])
+    assert sorted(r.doc_id for r in kept.collect() if not r.text) == [3, 4]
+    assert residue.residue(spark.createDataFrame([], schema)).collect() == [] == residue.without_residue(spark.createDataFrame([], schema)).collect()
+
+
+# Written apart from the rules: pages and texts of other makers and languages.
+OTHER_RESIDUE = [
+    ("error", "Errore 404: pagina non trovata"), ("error", "Página não encontrada"), ("error", "404 Pagina niet gevonden"), ("error", "Ошибка 404. Страница не найдена"), ("error", "找不到页面"), ("error", "404 ページが見つかりません"),
+    ("error", "Błąd 404 - strona nie została znaleziona"), ("error", "Fel 404: Sidan kunde inte hittas"), ("error", "La pagina richiesta non esiste più. Torna alla home page."), ("error", "Der Dienst ist zurzeit nicht erreichbar. Bitte versuchen Sie es später erneut."),
+    ("error", "404 Not Found. The page you requested could not be found on this server. It may have been moved, renamed or deleted, or the link may be out of date. Please check the address for typing errors, go back to the previous page, or use the search box at the top of this page. If you think this is a mistake, contact the webmaster and tell us how you came here."),
+    ("scripts", "Per vedere questa pagina attiva JavaScript"), ("scripts", "Включите JavaScript, чтобы продолжить"), ("scripts", "请启用JavaScript"), ("scripts", "JavaScriptを有効にしてください"), ("scripts", "Ative o JavaScript para continuar"), ("scripts", "Zet JavaScript aan; zonder JavaScript werkt deze pagina niet."),
+    ("placeholder", "Dear <name>, welcome."), ("placeholder", "Dear [Name], your order [Order Number] is on its way."), ("placeholder", "Hello [first_name], welcome."), ("placeholder", "We wrote to ##name## about it."), ("placeholder", "Dear *|FNAME|*, hello."), ("placeholder", "Title: TBD"), ("placeholder", "Report\nDate: ____\nRoom: 4"),
+    ("filler", "Testo segnaposto per la pagina"), ("filler", "Overview Placeholder text goes in this box."),
+]
+OTHER_KEPT = [
+    "Use {{name}} in your template to insert the name, and {{date}} for the date.", "In Jinja, a loop is written {% for x in items %} and ends with {% endfor %}. Variables use {{ x }}.\nFilters change a variable: {{ x|upper }}.",
+    "echo ${HOME}", "class A:\n    def __init__(self): pass", "The __init__ method runs first.", "Set %APPDATA% first.", "<HTML> is the root of the page.", "See [[Harbour]] for more.", "Let {x} be a set.", "[laughter] Then [noise] and [unk] came.",
+    "404\n页面上的内容很长，这里有许多关于港口和梯子的文字，大家都很喜欢阅读这些文字。", "Sorry, I missed you. Call me.", "Gone with the wind.", "Forbidden fruit tastes best.", "The road was blocked.", "Santa does not exist.", "The actor had no script.",
+    "The actors had no scripts.", "Glass falls.", "Shall Dad ask?", f"The page was torn. {CONTENT} {CONTENT}", "The sparrow didn't load the saddle because Koro didn't answer.", "404 speakers took part in the survey this year.",
+]
+
+
+@pytest.mark.parametrize("reason,text", OTHER_RESIDUE)
+def test_other_residue(reason, text):
+    assert residue.residue_of(text) == reason
+
+
+@pytest.mark.parametrize("text", OTHER_KEPT)
+def test_other_texts_are_kept(text):
+    assert residue.residue_of(text) is None
+
+
+def test_length_changes_nothing():
+    """A notice, a content sentence and filler of any length are judged alike."""
+    long = "The page that you asked for could not be found on this server because of a problem with " + " and ".join(["the database of the corpus"] * 40)
+    assert residue.residue_of(long) == "error"
+    assert residue.residue_of("404 Not Found\n" + " ".join([CONTENT] * 500)) is None
+    assert residue.residue_of(" ".join([CONTENT] * 500) + "\n" + "foo bar " * 5000) == "filler"
 
 
 @pytest.mark.parametrize("text", ["Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.", "jkl jkl", "dfgh dfgh", "Insert your name here", "Add a sentence", "Contenido provisional", "foo foo foo", "blah " * 20])
