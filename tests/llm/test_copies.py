@@ -62,5 +62,25 @@ def test_forms_that_begin_with_each_other_and_long_texts(spark):
     assert found(spark, rows, bucket_rows=1, step=4) == brute(rows)
 
 
+def test_a_long_common_prefix_costs_no_further_level(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(format_duplicates, "stored", lambda df, name, f=format_duplicates.stored: tables.append(name) or f(df, name))
+    counts = []
+    for prefix in ("a b c d e f ", "key=value pairs that an exporter repeats " * 10):
+        rows = [(i, f"{prefix} {i % 40} tail{i % 7}", 1, "", "") for i in range(600)]
+        assert found(spark, rows, bucket_rows=100) == brute(rows)
+        counts.append(len(tables))
+        tables.clear()
+    assert counts[0] == counts[1]
+
+
+def test_a_form_that_holds_most_rows(spark):
+    """Its rows are dealt over many tries, which all know its first id."""
+    rows = [(i, "The one text, that most rows hold!" if i % 5 else f"some other text of number {i}", 1, "", "") for i in range(500)]
+    rows += rows[:40]
+    for bucket_rows in (7, 50_000):
+        assert found(spark, rows, bucket_rows=bucket_rows) == brute(rows)
+
+
 def test_empty(spark):
     assert found(spark, []) == set()
