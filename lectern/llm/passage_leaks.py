@@ -1,23 +1,23 @@
 """P7: held-out passages inside a training corpus, by a distributed positional inverted index.
 
-1. The index stores token postings (term, document, positions) of the corpus, sharded by term and
-   document. Only tokens that lie in a run of at least ``run`` consecutive words are stored of
-   which each two neighbours are neighbours in some held-out item too: no other token can be part
-   of a match, so nothing is lost.
-2. For each window of ``run`` words of an item the ``probes`` terms with the shortest posting
-   lists are chosen. Their lists, adjusted by the terms' offsets, are intersected: what is left
-   are alignments (document, item, offset) at which some window holds all its rarest terms.
-3. At these alignments all other terms of the item are looked up in the index, and consecutive
-   positions are put together into runs: those of ``run`` words or more are exact phrase matches.
-4. Proximity matches come from an index of every token in the items' vocabulary. The rarer terms of
-   each window of 24 words are probed; where a few stand near their places relative to each other
-   all terms of the window are looked up, and half of them must be there, whether or not as a
-   phrase: so every phrase match is a proximity match too. Documents that hold half of a whole
-   item's rarest terms in that way match as well.
+1. ``positional_index`` stores the postings of every token of the corpus once. The index is cut by
+   document into segments of about ``SEGMENT_TOKENS`` tokens, each one row: its terms, and for each term the
+   documents that hold it with their positions. All lists of a document are in one segment, so lists
+   are intersected where they are, nothing is shuffled, and a term in every document is spread over all
+   segments. Any number of item sets and of searches use one index.
+2. A search first adds up the lengths of the lists of the items' terms. For each window of ``run`` words
+   of an item the ``probes`` terms with the shortest lists are chosen: the list of the rarest, adjusted by
+   its offset, is intersected with those of the next ones; what is left are alignments (document,
+   item, offset) at which some window holds all its rarest terms.
+3. At these alignments the lists of all terms of the item are looked up, and consecutive positions are put
+   together into runs: those of ``run`` words or more are exact phrase matches.
+4. Proximity matches probe the rarer terms of each window of 24 words; where a few stand near their places
+   relative to each other all terms of the window are looked up, and half of them must be there,
+   whether or not as a phrase: so every phrase match is a proximity match too. Documents that hold half
+   of a whole item's rarest terms in that way match as well.
 
 Held-out items are a fixed query set; they are taken in blocks of ``block_words`` words, and only
-a block's vocabulary is sent to the executors. Documents are read whole; a term in every document
-is spread over ``doc_shards`` shards.
+a block's words are sent to the executors. Documents are read whole.
 
 Defined results: NULL ids and texts take no part; items and documents under ``run`` words match
 nothing; repeated ids are united; empty tables give empty results. Further columns are ignored.
@@ -28,65 +28,61 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.words import words_of
 from lectern.storage import stored
 
-_INDEX = "term int, doc_id long, positions array<int>"
-
-
-def _postings(vocabulary: dict[str, int], pairs: list[int] | None, run: int):
-    """Postings of the tokens in runs of ``run`` words that are in the vocabulary and, if ``pairs``
-    is given (first * len(vocabulary) + second), of which each two neighbours are such a pair.
-    With a ``run`` of 1 they are those of every token in the vocabulary."""
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, size = vocabulary.get, len(vocabulary)
-        known = None if pairs is None else np.array(sorted(pairs), np.int64)
-        for batch in batches:
-            ids: list[int] = []
-            begin = [0]
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for text in batch.column(1).to_pylist():
-                ids.extend([get(w, -1) for w in words_of(text)])
-                ids.append(-1)  # no run crosses documents
-                begin.append(len(ids))
-            term = np.array([*ids, -1], np.int64)
-            linked = (term[:-1] >= 0) & (term[1:] >= 0)
-            if known is not None and len(known):
-                at = np.flatnonzero(linked)
-                key = term[at] * size + term[at + 1]
-                slot = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                linked[at[known[slot] != key]] = False
-            if run > 1:
-                edge = np.diff(np.concatenate(([0], linked.astype(np.int8), [0])))
-                first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                long = last - first + 1 >= run
-                at = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b + 1) for a, b in zip(first[long], last[long]))])
-            else:
-                at = np.flatnonzero(term >= 0)
-            if not len(at):
-                continue
-            doc = np.searchsorted(begin, at, side="right") - 1
-            order = np.lexsort((at, term[at], doc))
-            at, doc = at[order], doc[order]
-            starts = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(term[at]) != 0))))
-            lists = pa.ListArray.from_arrays(pa.array([*starts, len(at)], pa.int32()), pa.array(at - np.array(begin)[doc], pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(term[at[starts]], pa.int32()), pa.array(docs[doc[starts]], pa.int64()), lists], names=["term", "doc_id", "positions"])
-
-    return index
-
-
-def positional_index(documents: DataFrame, vocabulary: dict[str, int], pairs: list[int] | None, run: int, doc_shards: int = 8) -> DataFrame:
-    """The stored index (term, doc_id, positions) of documents (doc_id, text)."""
+SEGMENT_TOKENS = 500_000
+#: doc_ids, lengths: of the segment's documents. sizes: of each term's list of (document, number of
+#: positions), the lists of all terms one after another in docs and counts, and their positions.
+_INDEX = "doc_ids array<long>, lengths array<int>, terms array<string>, sizes array<int>, docs array<int>, counts array<int>, positions array<int>"
+
+
+def _segment(ids: list[int], texts: list[list[str]]) -> pa.RecordBatch:
+    lengths = np.array([len(ws) for ws in texts], np.int32)
+    coded = pa.array(list(chain.from_iterable(texts)), pa.string()).dictionary_encode()
+    term = coded.indices.to_numpy()
+    order = np.argsort(term, kind="stable")  # by term, document and position
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+    place = np.arange(len(term), dtype=np.int32) - np.repeat(np.cumsum(lengths, dtype=np.int32) - lengths, lengths)
+    term, doc, place = term[order], doc[order], place[order]
+    first = np.flatnonzero(np.concatenate((np.ones(len(term[:1]), bool), (np.diff(term) != 0) | (np.diff(doc) != 0))))
+    columns = [
+        pa.array(ids, pa.int64()), lengths, coded.dictionary, np.bincount(term[first], minlength=len(coded.dictionary)).astype(np.int32),
+        doc[first], np.diff(np.append(first, len(term))).astype(np.int32), place,
+    ]
+    one = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
+    return pa.RecordBatch.from_arrays(one, names=[x.split()[0] for x in _INDEX.split(", ")])
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids: list[int] = []
+    texts: list[list[str]] = []
+    n = 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ws = words_of(text.as_py())
+            if ids and n + len(ws) > SEGMENT_TOKENS:
+                yield _segment(ids, texts)
+                ids, texts, n = [], [], 0
+            ids.append(doc)
+            texts.append(ws)
+            n += len(ws)
+    if ids:
+        yield _segment(ids, texts)
+
+
+def positional_index(documents: DataFrame) -> DataFrame:
+    """The stored index of documents (doc_id, text)."""
     rows = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    postings = rows.mapInArrow(_postings(vocabulary, pairs, run), _INDEX)
-    return stored(postings.repartition("term", F.pmod(F.hash("doc_id"), F.lit(doc_shards))).sortWithinPartitions("term", "doc_id"), "postings")
+    return stored(rows.mapInArrow(_segments, _INDEX), "postings")
 
 
 def _blocks(items: DataFrame, block_words: int) -> Iterator[dict[int, list[list[str]]]]:
@@ -110,59 +106,129 @@ def _coded(block: dict[int, list[list[str]]], least: int) -> tuple[list[tuple[in
     return [(item, [vocabulary.setdefault(w, len(vocabulary)) for w in ws]) for item, texts in block.items() for ws in texts if len(ws) >= least], vocabulary
 
 
-def _lengths(index: DataFrame) -> dict[int, int]:
+def _values(batch: pa.RecordBatch, name: str, row: int):
+    return batch.column(name)[row].values
+
+
+def _lengths(index: DataFrame, vocabulary) -> dict[int, int]:
     """The posting lists' lengths: at most one row for each term of the block."""
-    return {r.term: r.n for r in index.groupBy("term").agg(F.count("*").alias("n")).collect()}
 
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(vocabulary.value), np.int64)
+        known = pa.array(vocabulary.value, pa.string())
+        for batch in batches:
+            for row in range(batch.num_rows):
+                code = pc.fill_null(pc.index_in(_values(batch, "terms", row), known), -1).to_numpy()
+                n[code[code >= 0]] += _values(batch, "sizes", row).to_numpy()[code >= 0]
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["term", "n"])
+
+    found = index.select("terms", "sizes").mapInArrow(sums, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r.term: r.n for r in found.collect()}
+
+
+class _Postings:
+    """A segment's lists of the terms of a block: term, document and position, and the same by place."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, known: pa.Array) -> None:
+        values = lambda name: _values(batch, name, row)
+        self.doc_ids, self.lengths = values("doc_ids").to_numpy(), values("lengths").to_numpy().astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        code = pc.fill_null(pc.index_in(values("terms"), known), -1).to_numpy()
+        sizes, counts = values("sizes").to_numpy(), values("counts").to_numpy()
+        of = np.repeat(code, sizes)
+        wanted = of >= 0
+        self.term = np.repeat(of[wanted], counts[wanted])
+        self.doc = np.repeat(values("docs").to_numpy()[wanted], counts[wanted])
+        self.place = values("positions").to_numpy()[np.repeat(wanted, counts)].astype(np.int64)
+        self.by_place = np.full(int(self.lengths.sum()), -1, np.int32)
+        self.by_place[self.starts[self.doc] + self.place] = self.term
+
+    def stands(self, doc: np.ndarray, place: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Whether the lists of the terms hold these places."""
+        inside = (place >= 0) & (place < self.lengths[doc])
+        out = np.zeros(len(place), bool)
+        out[inside] = self.by_place[self.starts[doc[inside]] + place[inside]] == term[inside]
+        return out
+
+
+def _of_segments(find, vocabulary):
+    """An Arrow operator that gives ``find`` the postings of each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocabulary.value, pa.string())
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield from find(_Postings(batch, row, known))
 
-def _alignments(documents: DataFrame, block: dict[int, list[list[str]]], run: int, probes: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """(index, item words (part, q, term), probed hits) of one block."""
-    spark = documents.sparkSession
-    coded, vocabulary = _coded(block, run)
-    if not coded:
-        return None
-    pairs = list({a * len(vocabulary) + b for _, ts in coded for a, b in zip(ts, ts[1:])})
-    index = positional_index(documents, vocabulary, pairs, run)
-    lengths = _lengths(index)
-    probed, windows = [], []
-    for part, (item, ts) in enumerate(coded):
-        chosen = set()
+    return run
+
+
+def _phrases(coded: list[tuple[int, list[int]]], lengths: dict[int, int], n_terms: int, run: int, probes: int, at_once: int = 1_000_000):
+    """A function from a segment's postings to phrase matches."""
+    windows: set[tuple[int, ...]] = set()
+    begin = np.cumsum([0, *(len(ts) for _, ts in coded)])
+    for part, (_, ts) in enumerate(coded):
         for s in range(len(ts) - run + 1):
             rarest = sorted(range(s, s + run), key=lambda q: (lengths.get(ts[q], 0), q))[:probes]
             if lengths.get(ts[rarest[0]], 0):
-                windows.append((part, rarest))
-                chosen.update(rarest)
-        probed += [(part, item, q, ts[q]) for q in sorted(chosen)]
-    words = [(part, q, t) for part, (item, ts) in enumerate(coded) for q, t in enumerate(ts)]
-    if not probed:
+                windows.add((part, *rarest))
+    if not windows:
         return None
-    probe = spark.createDataFrame(probed, "part int, item_id long, q int, term int")
-    hits = (
-        index.join(probe, "term")
-        .select("part", "item_id", "doc_id", "q", F.explode("positions").alias("p"))
-        .withColumn("diag", F.col("p") - F.col("q"))
-    )
-    needed = spark.createDataFrame(list({(p, tuple(sorted(w))) for p, w in windows}), "part int, needs array<int>").groupBy("part").agg(F.collect_list("needs").alias("windows"))
-    hits = stored(hits.groupBy("part", "item_id", "doc_id", "diag").agg(F.collect_set("q").alias("qs")).join(needed, "part"), "probe-hits")
-    return index, spark.createDataFrame(words, "part int, q int, term int"), hits
-
-
-def phrase_matches(documents: DataFrame, items: DataFrame, run: int = 12, probes: int = 3, block_words: int = 500_000) -> DataFrame:
+    items = np.array([item for item, _ in coded], np.int64)
+    term_of = np.array([t for _, ts in coded for t in ts], np.int32)
+    w = np.array(sorted(windows), np.int64)
+    part_of, q_of = w[:, 0], w[:, 1:]
+    probe = term_of[begin[part_of][:, None] + q_of]
+    order = np.argsort(probe[:, 0], kind="stable")
+    part_of, q_of, probe = part_of[order], q_of[order], probe[order]
+    low = np.searchsorted(probe[:, 0], np.arange(n_terms + 1))
+    size = np.diff(begin)
+
+    def find(x: _Postings) -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero(low[x.term + 1] > low[x.term])
+        fan = low[x.term[some] + 1] - low[x.term[some]]
+        found = [np.zeros((3, 0), np.int64)]
+        ends = np.searchsorted(np.cumsum(fan), np.arange(at_once, int(fan.sum()) + at_once, at_once), side="left") + 1
+        for a, b in zip([0, *ends], ends):
+            if a >= b:
+                continue
+            of, k = _spread(low[x.term[some[a:b]]], fan[a:b])
+            doc, diag = x.doc[some[a:b]][of], x.place[some[a:b]][of] - q_of[k, 0]
+            for j in range(1, q_of.shape[1]):
+                good = x.stands(doc, diag + q_of[k, j], probe[k, j])
+                doc, diag, k = doc[good], diag[good], k[good]
+            found.append(np.unique(np.stack((doc, part_of[k], diag)), axis=1))
+        doc, part, diag = np.unique(np.concatenate(found, 1), axis=1)
+        of, o = _spread(begin[part], size[part])
+        q = o - begin[part][of]
+        same = x.stands(doc[of], diag[of] + q, term_of[o])
+        # a run starts where a word stands and the word before it in the item does not
+        start = np.flatnonzero(same & ((q == 0) | ~np.concatenate(([False], same[:-1]))))
+        stop = np.flatnonzero(same & (np.concatenate((q[1:] == 0, [True])) | ~np.concatenate((same[1:], [False]))))
+        n = stop - start + 1
+        start, n = start[n >= run], n[n >= run].astype(np.int32)
+        if len(n):
+            a = of[start]
+            columns = [x.doc_ids[doc[a]], items[part[a]], (diag[a] + q[start]).astype(np.int32), q[start].astype(np.int32), n]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "item_id", "doc_start", "item_start", "n_words"])
+
+    return find
+
+
+def phrase_matches(index: DataFrame, items: DataFrame, run: int = 12, probes: int = 3, block_words: int = 500_000) -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, n_words): every run of ``run`` or more common words."""
-    spark = documents.sparkSession
-    out = []
+    spark = index.sparkSession
+    schema = "doc_id long, item_id long, doc_start int, item_start int, n_words int"
+    out = [spark.createDataFrame([], schema)]
     for block in _blocks(items, block_words):
-        found = _alignments(documents, block, run, probes)
-        if found is None:
+        coded, vocabulary = _coded(block, run)
+        if not coded:
             continue
-        index, words, hits = found
-        alive = hits.filter(F.exists("windows", lambda w: F.size(F.array_except(w, F.col("qs"))) == 0)).select("part", "item_id", "doc_id", "diag")
-        looked_up = alive.join(words, "part").join(index, ["term", "doc_id"]).filter(F.array_contains("positions", F.col("diag") + F.col("q"))).select("part", "item_id", "doc_id", "diag", "q")
-        island = F.col("q") - F.row_number().over(Window.partitionBy("part", "item_id", "doc_id", "diag").orderBy("q"))
-        runs = looked_up.withColumn("island", island).groupBy("part", "item_id", "doc_id", "diag", "island").agg(F.count("*").cast("int").alias("n_words"), F.min("q").alias("item_start"))
-        out.append(runs.filter(F.col("n_words") >= run).select("doc_id", "item_id", (F.col("diag") + F.col("item_start")).alias("doc_start"), "item_start", "n_words").distinct())
-    if not out:
-        return spark.createDataFrame([], "doc_id long, item_id long, doc_start int, item_start int, n_words int")
+        words = spark.sparkContext.broadcast(list(vocabulary))  # of at most about block_words words
+        find = _phrases(coded, _lengths(index, words), len(vocabulary), run, probes)
+        if find:
+            out.append(index.mapInArrow(_of_segments(find, words), schema).distinct())
     return reduce(DataFrame.unionByName, out)
 
 
@@ -299,44 +365,14 @@ def _finder(coded: list[tuple[int, list[int]]], lengths: dict[int, int], n_terms
 
 
 def _near(coded: list[tuple[int, list[int]]], lengths: dict[int, int], n_terms: int, window: int, item_probes: int, slop: int, share: float, piece: int = 2048, at_once: int = 4_000):
-    """Matches of the postings, which come by document. Documents are taken in pieces of ``piece``
+    """A function from a segment's postings to proximity matches. Documents are taken in pieces of ``piece``
     places, overlapping by more than a match can span, and about ``at_once`` tokens at a time."""
     longest = max(len(ts) for _, ts in coded)
     reach = longest + 3 * slop
     finders = [f for w, probes in ((window, None), (longest, item_probes)) if (f := _finder(coded, lengths, n_terms, w, probes, slop, share, piece + reach))]
     items = np.array([item for item, _ in coded], np.int64)
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(document, places, terms)"""
-        doc, held = None, []
-
-        def cut():
-            p, t = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(p, kind="stable")
-            p, t = p[order], t[order]
-            for a in range(0, int(p[-1]) + 1, piece):
-                i, j = np.searchsorted(p, [a, a + piece + reach])
-                if i < j:
-                    yield doc, p[i:j] - a, t[i:j]
-
-        for batch in batches:
-            docs = batch.column("doc_id").to_numpy()
-            lists = batch.column("positions")
-            counts, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy().astype(np.int64)
-            terms, ends = np.repeat(batch.column("term").to_numpy().astype(np.int64), counts), np.concatenate(([0], np.cumsum(counts)))
-            edges = [0, *(np.flatnonzero(np.diff(docs)) + 1), len(docs)] if len(docs) else []
-            for a, b in zip(edges, edges[1:]):
-                if held and docs[a] != doc:
-                    yield from cut()
-                    held = []
-                doc = docs[a]
-                held.append((flat[ends[a] : ends[b]], terms[ends[a] : ends[b]]))
-        if held:
-            yield from cut()
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not finders:
-            return
+    def near(x: _Postings) -> Iterator[pa.RecordBatch]:
         docs, ps, ts, n = [], [], [], 0
 
         def batch():
@@ -346,35 +382,40 @@ def _near(coded: list[tuple[int, list[int]]], lengths: dict[int, int], n_terms:
             columns = [np.array(docs, np.int64)[r], items[part], n_found.astype(np.int32), n_probes.astype(np.int32)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "item_id", "n_terms", "n_probes"])
 
-        for doc, p, t in pieces(batches):
-            docs.append(doc)
-            ps.append(p)
-            ts.append(t)
-            n += len(p)
-            if n >= at_once:
-                yield batch()
-                docs, ps, ts, n = [], [], [], 0
+        for doc, begin, length in zip(x.doc_ids.tolist(), x.starts.tolist(), x.lengths.tolist()):
+            of = x.by_place[begin : begin + length]
+            for a in range(0, length, piece):
+                cut = of[a : a + piece + reach]
+                p = np.flatnonzero(cut >= 0)
+                if len(p):
+                    docs.append(doc)
+                    ps.append(p)
+                    ts.append(cut[p].astype(np.int64))
+                    n += len(p)
+                if n >= at_once:
+                    yield batch()
+                    docs, ps, ts, n = [], [], [], 0
         if n:
             yield batch()
 
-    return near
+    return near if finders else None
 
 
-def proximity_matches(documents: DataFrame, items: DataFrame, run: int = 6, item_probes: int = 8, slop: int = 8, share: float = 0.5, block_words: int = 500_000, window: int = 24) -> DataFrame:
+def proximity_matches(index: DataFrame, items: DataFrame, run: int = 6, item_probes: int = 8, slop: int = 8, share: float = 0.5, block_words: int = 500_000, window: int = 24) -> DataFrame:
     """(doc_id, item_id, n_terms, n_probes): at least ``share`` of the terms of some ``window`` words
     of an item, or of its ``item_probes`` rarest terms, stand within ``slop`` words of their places
     relative to each other; the numbers are those of the window with most. A run of half a window
     is a match. Items under ``run`` words match nothing, those under ``window`` are one window."""
-    spark = documents.sparkSession
-    out = []
+    spark = index.sparkSession
+    schema = "doc_id long, item_id long, n_terms int, n_probes int"
+    out = [spark.createDataFrame([], schema)]
     for block in _blocks(items, block_words):
         coded, vocabulary = _coded(block, run)
         if not coded:
             continue
-        index = positional_index(documents, vocabulary, None, 1)
-        near = _near(coded, _lengths(index), len(vocabulary), window, item_probes, slop, share)
-        rows = index.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(near, "doc_id long, item_id long, n_terms int, n_probes int")
-        out.append(rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_terms", "n_probes")).alias("m")).select("doc_id", "item_id", "m.n_terms", "m.n_probes"))
-    if not out:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_terms int, n_probes int")
+        words = spark.sparkContext.broadcast(list(vocabulary))  # of at most about block_words words
+        near = _near(coded, _lengths(index, words), len(vocabulary), window, item_probes, slop, share)
+        if near:
+            rows = index.mapInArrow(_of_segments(near, words), schema)
+            out.append(rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_terms", "n_probes")).alias("m")).select("doc_id", "item_id", "m.n_terms", "m.n_probes"))
     return reduce(DataFrame.unionByName, out)

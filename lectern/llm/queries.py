@@ -73,8 +73,19 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_passages(spark, folder).select("doc_id", "item_id").distinct()
 
 
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def _index(spark: SparkSession, folder: str) -> DataFrame:
+    """The folder's positional index: built by the first query of a session, used by all."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        _INDEXES[key] = passage_leaks.positional_index(table(spark, folder, "documents"))
+    return _INDEXES[key]
+
+
 def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
-    return passage_leaks.phrase_matches(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return passage_leaks.phrase_matches(_index(spark, folder), table(spark, folder, "eval_items"))
 
 
 def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +94,7 @@ def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_proximity(spark: SparkSession, folder: str) -> DataFrame:
-    return passage_leaks.proximity_matches(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return passage_leaks.proximity_matches(_index(spark, folder), table(spark, folder, "eval_items"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

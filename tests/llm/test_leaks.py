@@ -14,8 +14,12 @@ def brute(docs, items, run=12):
     return {(d, i) for d, t, *_ in docs if d is not None and t is not None for i, s in items if of(t) & s}
 
 
+def index(spark, docs):
+    return passage_leaks.positional_index(spark.createDataFrame(docs, DOCS))
+
+
 def found(spark, docs, items, **options):
-    got = passage_leaks.phrase_matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), **options).collect()
+    got = passage_leaks.phrase_matches(index(spark, docs), spark.createDataFrame(items, ITEMS), **options).collect()
     texts = {}
     for d, t, *_ in docs:
         texts.setdefault(d, []).append(words_of(t or ""))
@@ -57,7 +61,7 @@ def test_dirty_rows(spark):
 def test_proximity(spark):
     text = " ".join(f"a{i}" for i in range(30))
     docs = [(1, text.replace("a7 ", "b ").replace("a15 ", "b c "), 1, "", ""), (2, "b " * 50, 1, "", ""), (3, text, 1, "", "")]
-    got = passage_leaks.proximity_matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, text, 1)], ITEMS)).collect()
+    got = passage_leaks.proximity_matches(index(spark, docs), spark.createDataFrame([(1, text, 1)], ITEMS)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 1)}
 
 
@@ -68,7 +72,7 @@ def test_empty(spark):
 
 
 def near(spark, docs, items, **options):
-    return {(r.doc_id, r.item_id) for r in passage_leaks.proximity_matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), **options).collect()}
+    return {(r.doc_id, r.item_id) for r in passage_leaks.proximity_matches(index(spark, docs), spark.createDataFrame(items, ITEMS), **options).collect()}
 
 
 def test_proximity_of_parts_and_of_edited_passages(spark):
@@ -100,3 +104,12 @@ def test_proximity_finds_all_windows(spark):
 
     want = {(d, i) for d, t, *_ in docs for i, x, _ in items if same_places(["-"] * 24 + words_of(t), words_of(x))}
     assert want and want <= near(spark, docs, items)
+
+
+def test_one_index_serves_many_searches_and_segments(spark, monkeypatch):
+    monkeypatch.setattr(passage_leaks, "SEGMENT_TOKENS", 90)
+    docs, items = make(7)
+    of = index(spark, docs)
+    for part in (items[:6], items[6:], items):
+        got = passage_leaks.phrase_matches(of, spark.createDataFrame(part, ITEMS)).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == brute(docs, part)
