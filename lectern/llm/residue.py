@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 from operator import eq
 
 import ahocorasick
@@ -161,7 +162,7 @@ _STOCK = re.compile(
 )
 #: In its presence a stock phrase is spoken of.
 _SAID = re.compile(r"\b(?:said|told|asked|wrote|called|threw|found|kept|removed|deleted|replaced|sounds?|feels?|was full|were full|full of)\b", I)
-_SENTENCE = re.compile(r"\n+|(?<=[.!?])\s+(?=[^\s\d]|\d+\.?\s|\d{3}\b)|\s+[-–•]\s+|^\s*[-–•]\s+|(?<=[。！？])")
+_SENTENCE = re.compile(r"[\s。！？](?:(?<=[\n。！？])\s*|(?<=[.!?]\s)\s*(?=[^\s\d]|\d+\.?\s|\d{3}\b)|[-–•]\s+)")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -203,7 +204,8 @@ _FURNITURE = re.compile(
     r"|\b(?:bitte )?versuchen sie es (?:\w+ ){0,2}(?:erneut|noch einmal)\b\.?|\b(?:veuillez )?réessaye[rz](?: plus tard)?\b\.?|\binténtelo de nuevo(?: más tarde)?\b\.?|\briprova(?:re)? più tardi\b\.?|\btente novamente(?: mais tarde)?\b\.?)",
     I,
 )
-_PERHAPS_FURNITURE = re.compile(r"skip to|[|·›»©]|menu|home|share|nginx|apache|cloudflare|iis|varnish|request id|ray|reference|incident|trace id|correlation|policy|rights reserved|log ?in|page|site|contact|try again|versuchen|réessaye|inténtelo|riprova|novamente", I)
+#: One of these, in lower case, is in whatever ``_FURNITURE`` matches.
+_FURNITURE_PARTS = "skip_to | · › » © menu home share nginx apache cloudflare iis varnish request_id ray reference incident trace_id correlation policy rights_reserved search log_in login sign_in sign_up register help about contact print close next back privacy terms sitemap cookies imprint browse page site try_again versuchen réessaye inténtelo riprova novamente"
 
 _STATUS_CODE = r"(?:4(?:0\d|1[0-8]|2[1-9]|31|51)|5(?:0\d|1[01]|2[0-6]))"
 _LABEL = r"(?:http(?:/\d(?:\.\d)?)?|error|err|erro|errore|erreur|fehler|fel|fout|fejl|błąd|chyba|hiba|hata|virhe|ошибка|помилка|status|code|错误|錯誤|エラー|오류)"
@@ -276,7 +278,7 @@ _ABOUT = re.compile(r"\b(?:means|stands? for|for example|such as|refers to|is ca
 def _n_words(sentence: str) -> int:
     """Words; two Chinese or Japanese characters are one."""
     if sentence.isascii():
-        return len(_WORD.findall(sentence))
+        return len(words_of(sentence))
     wide = sum("぀" <= c <= "鿿" or "가" <= c <= "힯" for c in sentence)
     return (wide + 1) // 2 + len(_WORD.findall(re.sub("[぀-鿿가-힯]+", " ", sentence) if wide else sentence))
 
@@ -319,7 +321,7 @@ def _notice(sentence: str, n: int) -> str | None:
 
 
 #: What every notice, weak notice and filler sentence holds one of, in lower case.
-_FILLS, _PAGES = 1, 2
+_FILLS, _PAGES, _FURNISHED = 1, 2, 4
 _STOCK_PARTS = "text cop content sentence paragraph description title bod heading caption name hier_ platzhalter contenu phrase contenido frase testo qwer asdf zxcv sdfg dfgh fghj ghjk hjkl xcvb cvbn vbnm poiu lkjh jkl"
 _PAGE_PARTS = (
     "script skript js скрипт スクリプト 脚本 checking_your not cannot n't n’t unauthori forbidden payment conflict gone too_large too_many internal bad_request gateway unavailable denied expired refused reset failed fatal unexpected error exception time-out timeout timed missing down overloaded offline blocked restricted disabled closed deleted removed renamed moved broken invalid unreachable maintenance no_longer ended crashed suspended may_have ran_out hit_a sent_a returned_a gave_a met_a_condition permission logged log_in signed sign_in something problem rate_limit no_such unable_to traceback stack_trace segmentation"
@@ -330,7 +332,7 @@ _PAGE_PARTS = (
 
 def _automaton() -> ahocorasick.Automaton:
     kinds: dict[str, int] = {}
-    for kind, words in ((_FILLS, f"{_STOCK_PARTS} {' '.join(_LATIN)}"), (_PAGES, _PAGE_PARTS)):
+    for kind, words in ((_FILLS, f"{_STOCK_PARTS} {' '.join(_LATIN)}"), (_PAGES, _PAGE_PARTS), (_FURNISHED, _FURNITURE_PARTS)):
         for w in words.split():
             w = w.replace("_", " ")
             kinds[w] = kinds.get(w, 0) | kind
@@ -345,49 +347,67 @@ _PARTS = _automaton()
 _CODES = re.compile(r"\b[45]\d\d\b")
 
 
-def _parts(text: str) -> Iterator[tuple[str, int, int]]:
-    """(sentence, begin, end)."""
-    at = 0
-    for m in _SENTENCE.finditer(text):
-        if m.start() > at:
-            yield text[at : m.start()], at, m.start()
-        at = m.end()
-    if at < len(text):
-        yield text[at:], at, len(text)
-
-
-def _filler(text: str, hits: list[tuple[int, int]]) -> bool:
-    if not text.strip():
-        return False
-    ws = words_of(text)
+class _Text:
+    """A text, where it holds parts of the patterns, and its sentences (text, begin, end, whether there may be furniture)."""
+
+    def __init__(self, text: str) -> None:
+        low = text.lower()
+        if len(low) != len(text):  # a letter whose lower case is longer: places would not agree
+            text = low
+        self.text = text
+        hits = list(_PARTS.iter(low))
+        self.fills, self.pages, self.furnished = ([p for p, kinds in hits if kinds & kind] for kind in (_FILLS, _PAGES, _FURNISHED))
+        self.codes = [m.start() for m in _CODES.finditer(text)]
+
+    @cached_property
+    def parts(self) -> list[tuple[str, int, int, bool]]:
+        text, at, ends = self.text, 0, [len(self.text)]
+        for m in _SENTENCE.finditer(text):
+            ends += (m.start() + (text[m.start()] in "。！？"), m.end())
+        ends = [*ends[1:], ends[0]]
+        furnished, k, out = [*self.furnished, len(text)], 0, []
+        for i in range(0, len(ends), 2):
+            end = ends[i]
+            if end > at:
+                while furnished[k] < at:
+                    k += 1
+                out.append((text[at:end], at, end, furnished[k] < end))
+            at = ends[i + 1] if i + 1 < len(ends) else end
+        return out
+
+    def holding(self, places: list[int]) -> list[int]:
+        """The numbers of the parts that hold one of the places, in order; those between parts are of the part before."""
+        begins = [a for _, a, _, _ in self.parts]
+        return sorted({max(0, bisect_right(begins, p) - 1) for p in places}) if begins else []
+
+
+def _filler(x: _Text) -> bool:
+    ws = words_of(x.text)
     # the same word three times running, or the same two: then every sentence is looked at
     again = b"\1\1" in bytes(map(eq, ws, ws[1:])) or b"\1\1\1\1" in bytes(map(eq, ws, ws[2:]))
-    at = [p for p, kinds in hits if kinds & _FILLS]
-    if not again and not at:
+    if not ws or not again and not x.fills:
         return False
-    for part, a, b in _parts(text):
-        if again or any(a <= p < b for p in at):
-            pieces = _FURNITURE.sub("\n", part).split("\n") if _PERHAPS_FURNITURE.search(part) else (part,)
-            if any(_is_filler(x) for x in pieces if x):
-                return True
+    for k in range(len(x.parts)) if again else x.holding(x.fills):
+        part, _, _, furnished = x.parts[k]
+        if any(_is_filler(y) for y in (_FURNITURE.sub("\n", part).split("\n") if furnished else (part,)) if y):
+            return True
     return False
 
 
-def _page(text: str, hits: list[tuple[int, int]]) -> str | None:
+def _page(x: _Text) -> str | None:
     """'error' or 'scripts' if the text is such a page."""
-    at = sorted([p for p, kinds in hits if kinds & _PAGES] + [m.start() for m in _CODES.finditer(text)])
-    if not at:
+    if not x.pages and not x.codes:
         return None
-    parts = list(_parts(text))
-    begins = [a for _, a, _ in parts]
-    touched = sorted({bisect_right(begins, p) - 1 for p in at})
+    parts = x.parts
+    touched = x.holding(x.pages + x.codes)
     furniture, traces = False, 0
 
-    def pieces(part: str) -> Iterator[tuple[str, int]]:
+    def pieces(k: int) -> Iterator[tuple[str, int]]:
         """The sentences of a part without page furniture, with their words."""
         nonlocal furniture, traces
+        part, _, _, furnished = parts[k]
         cut = [part]
-        if _PERHAPS_FURNITURE.search(part):
+        if furnished:
             ends = [0]
             for m in _FURNITURE.finditer(part):
                 ends += m.span()
@@ -396,13 +416,12 @@ def _page(text: str, hits: list[tuple[int, int]]) -> str | None:
                 else:
                     furniture = True
             cut = [part[i:j] for i, j in zip(ends[::2], [*ends[1::2], len(part)])]
-        for x in cut:
-            x = x.strip(_MARKS)
-            if n := _n_words(x):
-                yield x, n
+        for y in cut:
+            y = y.strip(_MARKS)
+            if n := _n_words(y):
+                yield y, n
 
-    suspects = [x for k in touched for x in pieces(parts[k][0])]
-    most, voice, content = sum(n for _, n in suspects), 0, 0
+    voice, content = 0, 0
     # few words of content beside the notices; the page's own voice may take several times their length
     few = lambda notices: content <= max(5, notices // 2) and voice <= 30 + 4 * notices
 
@@ -413,23 +432,27 @@ def _page(text: str, hits: list[tuple[int, int]]) -> str | None:
         else:
             content += n
 
-    for k in sorted(set(range(len(parts))).difference(touched)):
-        for x in pieces(parts[k][0]):
-            other(*x)
-        if not few(most):
-            return None
-    reason, weak, notices = None, 0, 0
-    for x, n in suspects:
-        if _WEAK.fullmatch(x) or _CODE_ALONE.fullmatch(x):
-            weak += n
-        elif kind := _notice(x, n):
-            reason = reason or kind
-            notices += n
-        else:
-            most -= n
-            other(x, n)
+    most = sum(_n_words(parts[k][0]) for k in touched)  # words of what may be notices
+    suspected = set(touched)
+    for k in range(len(parts)):
+        if k not in suspected:
+            for y in pieces(k):
+                other(*y)
             if not few(most):
                 return None
+    reason, weak, notices = None, 0, 0
+    for k in touched:
+        for y, n in pieces(k):
+            if _WEAK.fullmatch(y) or _CODE_ALONE.fullmatch(y):
+                weak += n
+            elif kind := _notice(y, n):
+                reason = reason or kind
+                notices += n
+            else:
+                most -= n
+                other(y, n)
+                if not few(most):
+                    return None
     if reason is None and (weak > 0) + min(traces, 2) + furniture + (voice > 0) >= 2 and (weak + traces or not content):
         reason = "error"  # no notice, but several things that stand beside one
     return reason if few(notices + weak) else None
@@ -439,11 +462,8 @@ def residue_of(text: str) -> str | None:
     """placeholder, filler, error, scripts, or None."""
     if _placeholder(text):
         return "placeholder"
-    low = text.lower()
-    if len(low) != len(text):  # a letter whose lower case is longer: places would not agree
-        text = low
-    hits = list(_PARTS.iter(low))
-    return "filler" if _filler(text, hits) else _page(text, hits)
+    x = _Text(text)
+    return "filler" if _filler(x) else _page(x)
 
 
 def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
