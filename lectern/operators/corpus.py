@@ -14,20 +14,43 @@ def sentences(rows: DataFrame, text: str) -> DataFrame:
     return lines.withColumn("sentence", F.trim("line")).filter("sentence <> ''").drop("line")
 
 
-def with_provenance(candidates: DataFrame, evaluation: DataFrame, source_order: str, order: list[str], min_words: int = 2) -> DataFrame:
-    """Adds norm and bucket: too_short, leakage, duplicate or kept, in this precedence.
+def _normalised(candidates: DataFrame) -> DataFrame:
+    norm = normalize(F.col("sentence"))
+    return candidates.withColumn("norm", norm).withColumn("_n", F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1))
+
+
+def _excluded(evaluation: DataFrame) -> DataFrame:
+    return evaluation.select(normalize(F.col("sentence")).alias("norm")).filter("norm <> ''").distinct()
+
+
+def provenance(candidates: DataFrame, evaluation: DataFrame, source_order: str, min_words: int = 2) -> DataFrame:
+    """(source, bucket, n): how many sentences are too_short, leakage, duplicate or kept, in this precedence.
 
     ``evaluation`` (sentence) is required: without one there is no guard. A duplicate is any but
-    the first of equal normalised sentences, by source and order; firsts are found by one ``min``
-    a sentence, combined before the shuffle, so a sentence that recurs very often is no hot task.
+    the first of equal normalised sentences. Sentences are counted by source before they are shuffled, so
+    one that recurs very often is a row for each source; the first source has the one that is kept.
     """
-    of = candidates.withColumn("norm", normalize(F.col("sentence"))).withColumn("_n", F.size(F.filter(F.split("norm", " "), lambda w: w != "")))
-    exclude = evaluation.select(normalize(F.col("sentence")).alias("norm")).filter("norm <> ''").distinct().withColumn("_x", F.lit(True))
-    place = F.struct(source_order, *order)
-    first = of.filter(F.col("_n") >= min_words).groupBy("norm").agg(F.min(place).alias("_first"))
-    of = of.join(exclude, "norm", "left").join(first, "norm", "left")
-    bucket = F.when(F.col("_n") < min_words, "too_short").when(F.col("_x"), "leakage").when(place != F.col("_first"), "duplicate").otherwise("kept")
-    return of.withColumn("bucket", bucket).drop("_n", "_x", "_first")
+    src = F.col(source_order)
+    of = _normalised(candidates)
+    short = F.col("_n") < min_words
+    counts = of.groupBy(F.when(~short, F.col("norm")).alias("norm"), src.alias("src")).agg(F.count("*").alias("n"))
+    by = counts.filter("norm IS NOT NULL").groupBy("norm").agg(F.collect_list(F.struct("src", "n")).alias("all"), F.min("src").alias("first"))  # an entry for each source
+    by = by.join(_excluded(evaluation).withColumn("_x", F.lit(True)), "norm", "left")
+    one = lambda bucket, n: F.struct(F.lit(bucket).alias("bucket"), n.alias("n"))
+    rows = by.select(F.explode("all").alias("a"), F.col("first"), "_x").select("a.src", "a.n", "first", "_x")
+    kept = F.when(F.col("src") == F.col("first"), 1).otherwise(0)
+    split = F.when(F.col("_x"), F.array(one("leakage", F.col("n")))).otherwise(F.array(one("kept", kept.cast("long")), one("duplicate", F.col("n") - kept)))
+    long = rows.select("src", F.explode(split).alias("b")).select("src", "b.*").filter("n > 0")
+    all_ = long.unionByName(counts.filter("norm IS NULL").select("src", F.lit("too_short").alias("bucket"), "n"))
+    return all_.groupBy(F.col("src").alias(source_order), "bucket").agg(F.sum("n").alias("n"))
+
+
+def kept(candidates: DataFrame, evaluation: DataFrame, source_order: str, order: list[str], min_words: int = 2) -> DataFrame:
+    """The kept sentences (norm, source and order): the first of each, by one ``min`` combined before the
+    shuffle, without those of the evaluation set."""
+    of = _normalised(candidates).filter(F.col("_n") >= min_words)
+    first = of.groupBy("norm").agg(F.min(F.struct(source_order, *order)).alias("_first"))
+    return first.join(_excluded(evaluation), "norm", "left_anti").select("_first.*", "norm")
 
 
 def leaked(corpus: DataFrame, evaluation: DataFrame) -> DataFrame:

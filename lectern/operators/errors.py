@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.distance import alignment
 from lectern.functions.text import context_frame
+from lectern.storage import stored
 
 # Word lists that the category rules compare with.
 SPELLINGS = [("centre", "center"), ("centres", "centers"), ("colour", "color"), ("favour", "favor"), ("honour", "honor"), ("labour", "labor"), ("theatre", "theater"), ("metre", "meter"), ("litre", "liter"), ("organise", "organize"), ("realise", "realize"), ("recognise", "recognize"), ("travelled", "traveled"), ("grey", "gray"), ("defence", "defense"), ("licence", "license"), ("practise", "practice"), ("programme", "program")]
@@ -89,9 +90,16 @@ def pattern_frequency(errors: DataFrame) -> DataFrame:
 
 
 def with_pattern_frequency(errors: DataFrame, out: str = "n") -> DataFrame:
-    counts = pattern_frequency(errors).select(F.col("op").alias("_o"), F.col("ref_word").alias("_r"), F.col("hyp_word").alias("_h"), F.col("n").alias(out))
-    on = errors["op"].eqNullSafe(counts["_o"]) & errors["ref_word"].eqNullSafe(counts["_r"]) & errors["hyp_word"].eqNullSafe(counts["_h"])
-    return errors.join(counts, on).drop("_o", "_r", "_h")
+    """Each row with the frequency of its pattern. The counts of heavy patterns are broadcast and only the
+    rows of the others are shuffled, so a hot pattern is no hot task."""
+    counts = stored(pattern_frequency(errors), "pattern-counts")
+    most = counts.agg(F.sum("n").alias("rows")).select((F.col("rows") / 1000).alias("_most"))
+    # a pattern of a thousandth of all rows or more is heavy: there are a thousand of them at most
+    heavy = counts.join(F.broadcast(most), F.col("n") >= F.col("_most")).select("op", "ref_word", "hyp_word", F.col("n").alias("_h"))
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("op", "ref_word", "hyp_word")]
+    marked = errors.alias("e").join(F.broadcast(heavy).alias("h"), same("e", "h"), "left").select("e.*", "_h")
+    light = marked.filter("_h IS NULL").drop("_h").alias("l").join(counts.alias("c"), same("l", "c")).select("l.*", F.col("c.n").alias(out))
+    return marked.filter("_h IS NOT NULL").withColumnRenamed("_h", out).unionByName(light)
 
 
 def coverage(patterns: DataFrame) -> DataFrame:
@@ -105,10 +113,11 @@ def coverage(patterns: DataFrame) -> DataFrame:
     return by_n.select("n", "n_patterns", "n_errors", (F.sum("n_errors").over(running) / F.sum("n_errors").over(whole)).alias("covered"))
 
 
-def agreement(pred: Column, truth: Column) -> list[Column]:
-    """Confusion counts, agreement, precision, recall, F1 and Cohen's kappa as aggregates; 0 where undefined."""
-    tp, fp = F.count_if(pred & truth), F.count_if(pred & ~truth)
-    fn, tn = F.count_if(~pred & truth), F.count_if(~pred & ~truth)
+def agreement(pred: Column, truth: Column, times: Column | None = None) -> list[Column]:
+    """Confusion counts, agreement, precision, recall, F1 and Cohen's kappa as aggregates; 0 where
+    undefined. A row stands for ``times`` cases, by default for one."""
+    count = lambda c: F.count_if(c) if times is None else F.coalesce(F.sum(F.when(c, times)), F.lit(0))
+    tp, fp, fn, tn = count(pred & truth), count(pred & ~truth), count(~pred & truth), count(~pred & ~truth)
     n = (tp + fp + fn + tn).cast("double")
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     precision, recall, po = ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(tp + tn, n)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.storage import stored
+
 BOS, EOS = "<s>", "</s>"
 
 
@@ -15,11 +17,24 @@ def padded(tokens: Column, order: int) -> Column:
 
 
 def ngram_counts(sentences: DataFrame, tokens: str, order: int) -> DataFrame:
-    """(k, gram, n) for k = 1 .. order; grams are joined by a blank; empty sentences are passed over."""
+    """(k, gram, n) for k = 1 .. order; grams are joined by a blank; empty sentences are passed over.
+
+    Only the grams of the highest order are made of the text. A gram that ends anywhere but in the padding is the
+    end of one that is longer by a word, so lower orders are sums of the counts above them; the
+    gram of k start marks, which ends at place k, stands once more a sentence. Runs a job.
+    """
     of = sentences.filter(F.size(tokens) > 0).select(padded(F.col(tokens), order).alias("t"))
-    of = of.select("t", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("k"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("t") - F.col("k") + 1), lambda i: F.array_join(F.slice("t", i, F.col("k")), " "))
-    return of.select("k", F.explode(grams).alias("gram")).groupBy("k", "gram").agg(F.count("*").alias("n"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("t") - order + 1), lambda i: F.array_join(F.slice("t", i, order), " "))
+    counts = stored(of.select(F.explode(windows).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), f"{order}-grams")
+    n_sentences = counts.agg(F.coalesce(F.sum(F.when(F.substring_index("gram", " ", -1) == EOS, F.col("n"))), F.lit(0)).alias("n")).filter("n > 0")
+    out = counts.select(F.lit(order).alias("k"), "gram", "n")
+    for k in range(order - 1, 0, -1):
+        marks = n_sentences.select(F.lit(" ".join([BOS] * k)).alias("gram"), "n")
+        counts = counts.select(F.substring_index("gram", " ", -k).alias("gram"), "n").unionByName(marks).groupBy("gram").agg(F.sum("n").alias("n"))
+        if k > 1:
+            counts = stored(counts, f"{k}-grams")
+        out = out.unionByName(counts.select(F.lit(k).alias("k"), "gram", "n"))
+    return out
 
 
 def ngram_stats(counts: DataFrame) -> DataFrame:
@@ -44,23 +59,40 @@ class NGramModel:
     def logprobs(self, sentences: DataFrame, key: str, tokens: str) -> DataFrame:
         """(key, logprob, n_tokens, per_word): natural logarithms, the end mark is scored.
 
-        Tokens become rows (sentence, place, k) that are joined once with the counts of the gram
-        and once with those of its history; a place's estimates are folded from the lowest order.
+        A token's probability is that of its window, the ``order`` words that end with it. Each
+        distinct window is estimated once: it becomes a row for each k, joined with the counts of its gram
+        and of its history, and is folded from the lowest order. Then windows meet the sentences.
         """
         total, vocabulary = self.totals()
         o = self.order
-        of = sentences.select(F.col(key).alias("key"), F.col(tokens).alias("t0"), padded(F.col(tokens), o).alias("t"))
-        places = of.select("key", "t", F.explode(F.sequence(F.lit(o), F.size("t"))).alias("i"))
-        rows = places.select("key", "i", F.explode(F.transform(F.sequence(F.lit(1), F.lit(o)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("t", F.col("i") - k + 1, k), " ").alias("gram"), F.array_join(F.slice("t", F.col("i") - k + 1, k - 1), " ").alias("history")))).alias("g")).select("key", "i", "g.*")
+        of = sentences.select(F.col(key).alias("key"), padded(F.col(tokens), o).alias("t"))
+        windows = F.transform(F.sequence(F.lit(o), F.size("t")), lambda i: F.array_join(F.slice("t", i - o + 1, o), " "))
+        rows = of.select("key", F.explode(windows).alias("window"))
+        gram = lambda k: F.substring_index("window", " ", -k)
+        grams = F.array(*[F.struct(F.lit(k).alias("k"), gram(k).alias("gram"), (F.substring_index(gram(k), " ", k - 1) if k > 1 else F.lit("")).alias("history")) for k in range(1, o + 1)])
+        parts = rows.select("window").distinct().select("window", F.explode(grams).alias("g")).select("window", "g.*")
         sub = self.counts.select("k", "gram", F.col("n").alias("c"))
         history = self.counts.filter(F.col("k") < o).select((F.col("k") + 1).alias("k"), F.col("gram").alias("history"), F.col("n").alias("h"))
-        found = rows.join(sub, ["k", "gram"], "left").join(history, ["k", "history"], "left")
-        by_place = found.groupBy("key", "i").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("h", F.lit(0)).alias("h")))).alias("g"))
+        found = parts.join(sub, ["k", "gram"], "left").join(history, ["k", "history"], "left")
+        of_k = F.array_sort(F.collect_list(F.struct("k", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("h", F.lit(0)).alias("h"))))  # one entry for each k
+        by_window = found.groupBy("window").agg(of_k.alias("g"))
         first = (F.get("g", F.lit(0))["c"] + self.add_k) / F.lit(total + self.add_k * vocabulary)
         p = F.aggregate(F.slice("g", 2, o), first, lambda p, g: F.when(g["h"] > 0, self.weight * (g["c"] / g["h"]) + (1 - self.weight) * p).otherwise(p))
-        by_sentence = by_place.groupBy("key").agg(F.sum(F.log(F.greatest(p, F.lit(1e-12)))).alias("logprob"), (F.count("*") - 1).alias("n_tokens"))
+        estimates = by_window.select("window", F.log(F.greatest(p, F.lit(1e-12))).alias("log"))
+        by_sentence = rows.join(estimates, "window").groupBy("key").agg(F.sum("log").alias("logprob"), (F.count("*") - 1).alias("n_tokens"))
         return by_sentence.select(F.col("key").alias(key), "logprob", "n_tokens", (F.col("logprob") / (F.col("n_tokens") + 1)).alias("per_word"))
 
+    def save(self, path: str) -> None:
+        """The counts as a Parquet table by order, the settings beside it."""
+        self.counts.write.mode("overwrite").partitionBy("k").parquet(f"{path}/counts")
+        setting = self.counts.sparkSession.createDataFrame([(self.order, self.add_k, self.weight)], "order int, add_k double, weight double")
+        setting.coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NGramModel:
+        r = spark.read.schema("order int, add_k double, weight double").json(f"{path}/settings").first()
+        return cls(spark.read.parquet(f"{path}/counts").select("k", "gram", "n"), r["order"], r.add_k, r.weight)
+
 
 def perplexity_micro(scored: DataFrame) -> Column:
     return F.exp(-F.sum("logprob") / F.sum(scored["n_tokens"] + 1))
@@ -86,6 +118,13 @@ def load_model(name: str):
     return _MODELS[prefix](rest)
 
 
+def _saved(path: str):
+    return lambda sentences, key, tokens: NGramModel.load(sentences.sparkSession, path).logprobs(sentences, key, tokens)
+
+
+register_model("ngram", _saved)  # ngram:<path of a saved model>
+
+
 def to_natural(log10: Column) -> Column:
     """Base-10 logarithms, as external toolkits give them, to natural ones."""
     return log10 * F.log(F.lit(10.0))

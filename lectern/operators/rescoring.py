@@ -19,10 +19,10 @@ def pick(column: str, score: Column) -> Column:
     return F.max_by(F.col(column), F.struct(score.alias("s"), (-F.col("pos")).alias("p")))
 
 
-def rescored(nbest: DataFrame, weight: float) -> DataFrame:
-    """Baseline (weight 0) and adapted picks of each list, side by side, in one pass."""
+def rescored(nbest: DataFrame, weight: float, *carried: str) -> DataFrame:
+    """Baseline (weight 0) and adapted picks of each list, side by side, in one pass; with ``carried`` columns of the list."""
     both = [pick(c, s).alias(f"{c}_{name}") for name, s in (("baseline", combined(0.0)), ("adapted", combined(weight))) for c in ("text", "edits")]
-    return nbest.groupBy("utt_id").agg(*both, F.first("n_ref").alias("n_ref")).withColumn("changed", ~F.col("text_baseline").eqNullSafe(F.col("text_adapted")))
+    return nbest.groupBy("utt_id").agg(*both, F.first("n_ref").alias("n_ref"), *[F.first(c).alias(c) for c in carried]).withColumn("changed", ~F.col("text_baseline").eqNullSafe(F.col("text_adapted")))
 
 
 def weight_sweep(nbest: DataFrame, grid: list[float]) -> DataFrame:

@@ -5,13 +5,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.storage import stored
-
 
 def hash_key(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts]))
@@ -68,33 +70,72 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: str
     return named.withColumn("_r", rank).filter((F.col("_r") <= max(drawn.values())) & (F.col("_r") <= most)).drop("_s", "_r")
 
 
-def dense_index(rows: DataFrame, key: str, out: str = "idx") -> tuple[DataFrame, int]:
-    """Adds 0-based places in the order of ``key``, and gives the number of rows. Rows are ranged and
-    ranked within their partition; only the partitions' sizes come to the driver."""
-    ranged = stored(rows.repartitionByRange(key).withColumn("_p", F.spark_partition_id()), "ranged")
-    sizes = sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect())
-    starts = dict(zip([p for p, _ in sizes], accumulate([0, *(n for _, n in sizes[:-1])]))) if sizes else {}
-    if not starts:
-        return ranged.withColumn(out, F.lit(0).cast("long")).drop("_p"), 0
-    start = F.create_map(*[F.lit(x) for p in starts.items() for x in p])[F.col("_p")]
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(key))
-    return ranged.withColumn(out, (rank - 1 + start).cast("long")).drop("_p"), sum(n for _, n in sizes)
+_2_32 = 1 << 32
+
+
+def mixed(x):
+    """A number below 2**32 from one below 2**62, for numpy arrays; SQL repeats it with %, xor and >>."""
+    v = x % _2_32
+    v = (v ^ (v >> 16)) * 73244475 % _2_32
+    v = (v ^ (v >> 15)) * 295559667 % _2_32
+    return v ^ (v >> 16)
 
 
-def bootstrap(units: DataFrame, key: str, n_boot: int, seed: str) -> DataFrame:
-    """(b, wer_baseline, wer_adapted, delta): paired draws with replacement of units with sums
-    (n_ref, e_base, e_adapt). A draw's unit is ``hash(seed|b|i) mod n``.
+UNIT_STEP, DRAW_STEP = 2246822519, 2654435761
+#: Of a Poisson variable of mean 1: 2**32 times the probability of at most 0, 1, .. 8.
+POISSON = [int(_2_32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(9)]
+_SUMS = "b long, n double, eb double, ea double"
 
-    Give clusters (one row each) for a cluster bootstrap. Draws are counted before they meet the
-    units, so that each unit takes part once a draw, and only sums leave the join.
+
+def _rates(sums: DataFrame) -> DataFrame:
+    return sums.select("b", (F.col("eb") / F.col("n")).alias("wer_baseline"), (F.col("ea") / F.col("n")).alias("wer_adapted"), ((F.col("ea") - F.col("eb")) / F.col("n")).alias("delta"))
+
+
+def bootstrap(units: DataFrame, key: str, n_boot: int = 10_000, seed: int = 1234, max_units: int = 1_000_000) -> DataFrame:
+    """(b, wer_baseline, wer_adapted, delta): paired draws with replacement of as many units as there are, from
+    units with sums (n_ref, e_base, e_adapt): for a cluster bootstrap one row a cluster.
+
+    The i-th unit of draw b is ``mixed(seed + i * UNIT_STEP + b * DRAW_STEP) mod n`` in the order of ``key``.
+    Draws are dealt over tasks, which hold all units: three numbers for each of at most ``max_units``
+    (ValueError beyond; ``poisson_bootstrap`` has no such bound).
     """
-    placed, n = dense_index(units.select(key, "n_ref", "e_base", "e_adapt"), key)
     spark = units.sparkSession
-    draws = spark.range(n_boot).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")) if n else spark.createDataFrame([], "b long, i int")
-    drawn = draws.select("b", F.pmod(hash_int(F.lit(seed), F.col("b").cast("string"), F.col("i").cast("string")), F.lit(max(n, 1))).alias("idx")).groupBy("b", "idx").agg(F.count("*").alias("times"))
-    t = F.col("times")
-    sums = drawn.join(placed, "idx").groupBy("b").agg(F.sum(t * F.col("n_ref")).alias("n"), F.sum(t * F.col("e_base")).alias("eb"), F.sum(t * F.col("e_adapt")).alias("ea"))
-    return sums.select("b", (F.col("eb") / F.col("n")).alias("wer_baseline"), (F.col("ea") / F.col("n")).alias("wer_adapted"), ((F.col("ea") - F.col("eb")) / F.col("n")).alias("delta"))
+    rows = units.select(key, "n_ref", "e_base", "e_adapt").orderBy(key).limit(max_units + 1).toPandas()
+    if len(rows) > max_units:
+        raise ValueError(f"more than {max_units} units: use poisson_bootstrap")
+    table = spark.sparkContext.broadcast(rows[["n_ref", "e_base", "e_adapt"]].to_numpy(np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = table.value
+        place = seed + np.arange(len(x), dtype=np.int64) * UNIT_STEP % _2_32
+        for batch in batches:
+            bs = batch.column(0).to_numpy()
+            sums = np.array([x[mixed(place + b * DRAW_STEP) % len(x)].sum(0) for b in bs]).reshape(-1, 3) if len(x) else np.zeros((0, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(bs[: len(sums)]), *[pa.array(sums[:, c]) for c in range(3)]], names=["b", "n", "eb", "ea"])
+
+    return _rates(spark.range(n_boot).mapInArrow(run, _SUMS))
+
+
+def poisson_bootstrap(units: DataFrame, key: str, n_boot: int = 10_000, seed: str = "1234") -> DataFrame:
+    """The same for any number of units, in one pass: each unit takes part in each draw as often as a
+    Poisson variable of mean 1 tells, whose value hangs on the hash of its key and the draw alone. A task sends one
+    row of sums a draw; no unit is shuffled."""
+    rows = units.select(hash_int(F.lit(seed), F.col(key)).alias("h"), *[F.col(c).cast("double") for c in ("n_ref", "e_base", "e_adapt")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((n_boot, 3))
+        steps = np.arange(n_boot, dtype=np.int64) * DRAW_STEP
+        bounds = np.array(POISSON)
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy() for c in (1, 2, 3)], 1)
+            h = batch.column(0).to_numpy()
+            for a in range(0, len(h), 256):
+                u = mixed(h[a : a + 256, None] + steps)
+                sums += np.searchsorted(bounds, u, side="right").T @ x[a : a + 256]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_boot)), *[pa.array(sums[:, c]) for c in range(3)]], names=["b", "n", "eb", "ea"])
+
+    sums = rows.mapInArrow(run, _SUMS).groupBy("b").agg(*[F.sum(c).alias(c) for c in ("n", "eb", "ea")])
+    return _rates(sums.filter("n > 0"))
 
 
 def nearest_rank(value: str, share: float, n: int) -> Column:

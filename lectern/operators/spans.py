@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def utterance_key(utt_id: Column) -> Column:
+    """Annotations and logs write ids in either case and with blanks or tabs around them."""
+    return F.lower(F.trim(utt_id, F.lit(" \t")))
+
+
 def span_label(span: Column) -> Column:
     return F.concat(F.coalesce(span["canonical"], F.lit("")), F.lit(">"), F.coalesce(span["perceived"], F.lit("")), F.lit("("), F.coalesce(span["err_type"], F.lit("")), F.lit(")"))
 

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 def utterances(spark: SparkSession, d: str) -> DataFrame:
     """The manifest, one row for each utterance: its first delivery."""
-    cols = ["dataset", "wav_path", "text", "duration_s", "speaker", "accent", "cefr", "split"]
+    cols = ["dataset", "wav_path", "text", "duration_s", "speaker", "accent", "cefr", "extra", "split"]
     rows = table(spark, d, "utterances").filter("utt_id IS NOT NULL")
     return rows.groupBy("utt_id").agg(F.min_by(F.struct(*cols), "loaded_at").alias("u")).select("utt_id", "u.*")
 
@@ -36,9 +36,9 @@ def hypotheses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "hypotheses").dropDuplicates(["hyp_id"])
 
 
-def errors(spark: SparkSession, d: str) -> DataFrame:
-    """The error log, one row for each error: its first delivery."""
-    cols = ["utt_id", "dataset", "condition", "op", "ref_word", "hyp_word", "ref_context", "approx_time_s", "why_category", "annotator_notes", "accent"]
+def errors(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """The error log, one row for each error: its first delivery; with ``more`` columns, if any."""
+    cols = ["utt_id", "dataset", "condition", "op", "ref_word", "hyp_word", "ref_context", "approx_time_s", "why_category", "annotator_notes", "accent", *more]
     return table(spark, d, "error_rows").groupBy("error_id").agg(F.min_by(F.struct(*cols), "logged_at").alias("e")).select("error_id", "e.*")
 
 
@@ -80,7 +80,8 @@ H = "h AS (SELECT DISTINCT * FROM hypotheses)"
 PAIRS = f"""{U}, {H}, p0 AS (SELECT u.utt_id, u.dataset, u.accent, u.cefr, u.speaker, {toks('u.text')} AS ref, {toks('h.text')} AS hyp, h.hyp_pos AS pos, h.hyp_id, h.text, h.acoustic_score AS acoustic
   FROM u JOIN h USING (utt_id) WHERE u.text IS NOT NULL AND h.text IS NOT NULL AND h.acoustic_score IS NOT NULL),
 p AS (SELECT *, len(ref) AS n_ref, len(hyp) AS n_hyp, {edits('ref', 'hyp')} AS edits FROM p0)"""
-SPANS = "s AS (SELECT utt_id, any_value(phones) AS phones FROM phone_annotations WHERE utt_id IS NOT NULL GROUP BY utt_id)"
+KEY = "lower(trim({}, ' ' || chr(9)))"
+SPANS = f"s AS (SELECT {KEY.format('utt_id')} AS key, list_distinct(flatten(list(phones) FILTER (phones IS NOT NULL))) AS phones FROM phone_annotations WHERE utt_id IS NOT NULL GROUP BY ALL)"
 
 
 def md5_int(x: str) -> str:

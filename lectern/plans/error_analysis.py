@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.phonetics import jaro_winkler_similarity, phonetic_similar
 from lectern.functions.text import context_frame, normalize, tokens
 from lectern.operators import errors as ops
-from lectern.operators.spans import nearest_span, span_label
-from lectern.plans.base import E, SPANS, U, errors, norm, query, toks, utterances
+from lectern.operators.spans import nearest_span, span_label, utterance_key
+from lectern.plans.base import E, KEY, SPANS, U, errors, norm, query, toks, utterances
 from lectern.sources.tables import table
 
 TOLERANCE = 0.15
@@ -82,23 +82,24 @@ def lexicon_pair_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, d: str) -> DataFrame:
-    """(utt_id, spans): mispronounced phones that have both ends, in order of time."""
-    p = table(spark, d, "phone_annotations").filter("utt_id IS NOT NULL").groupBy("utt_id").agg(F.first("phones").alias("phones"))
+    """(key, spans): mispronounced phones that have both ends, in order of their ids; repeated rows are merged."""
+    p = table(spark, d, "phone_annotations").filter("utt_id IS NOT NULL").groupBy(utterance_key(F.col("utt_id")).alias("key"))
+    phones = p.agg(F.array_distinct(F.flatten(F.collect_list("phones"))).alias("phones"))
     marked = F.filter("phones", lambda x: (F.trim(F.coalesce(x["err_type"], F.lit(""))) != "") & x["xmin"].isNotNull() & x["xmax"].isNotNull())
-    return p.select("utt_id", F.coalesce(F.array_sort(marked, lambda a, b: F.when(a["phone_id"] < b["phone_id"], -1).otherwise(1)), F.array()).alias("spans"))
+    return phones.select("key", F.coalesce(F.array_sort(marked, lambda a, b: F.when(a["phone_id"] < b["phone_id"], -1).otherwise(1)), F.array()).alias("spans"))
 
 
-def coinciding(spark: SparkSession, d: str) -> DataFrame:
+def coinciding(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Errors of annotated utterances with their nearest mispronounced phone; utterances without one stay."""
-    e = errors(spark, d).filter((F.col("approx_time_s") >= 0) & ~F.isnan("approx_time_s"))
-    x = e.join(spans(spark, d), "utt_id").withColumn("m", nearest_span(F.col("approx_time_s"), F.col("spans"), TOLERANCE))
+    e = errors(spark, d, *more).filter((F.col("approx_time_s") >= 0) & ~F.isnan("approx_time_s"))
+    x = e.withColumn("key", utterance_key(F.col("utt_id"))).join(spans(spark, d), "key").withColumn("m", nearest_span(F.col("approx_time_s"), F.col("spans"), TOLERANCE))
     span = F.get("spans", F.col("m.i"))
     return x.select(*[c for c in e.columns], F.coalesce(F.col("m.d") == 0, F.lit(False)).alias("coincides"), F.coalesce(span_label(span), F.lit("")).alias("label"), F.bround("m.d", 3).alias("distance"))
 
 
-_COINCIDING = f"""{E}, {SPANS}, sp AS (SELECT utt_id, list_sort(list_transform(list_filter(coalesce(phones, []), lambda x: trim(coalesce(x.err_type, '')) <> '' AND x.xmin IS NOT NULL AND x.xmax IS NOT NULL),
+_COINCIDING = f"""{E}, {SPANS}, sp AS (SELECT key, list_sort(list_transform(list_filter(coalesce(phones, []), lambda x: trim(coalesce(x.err_type, '')) <> '' AND x.xmin IS NOT NULL AND x.xmax IS NOT NULL),
     lambda x: {{'phone_id': x.phone_id, 'xmin': x.xmin, 'xmax': x.xmax, 'label': coalesce(x.canonical, '') || '>' || coalesce(x.perceived, '') || '(' || coalesce(x.err_type, '') || ')'}})) AS spans FROM s),
-x AS (SELECT e.*, spans FROM e JOIN sp USING (utt_id) WHERE approx_time_s >= 0 AND NOT isnan(approx_time_s)),
+x AS (SELECT e.*, spans FROM e JOIN sp ON {KEY.format('e.utt_id')} = key WHERE approx_time_s >= 0 AND NOT isnan(approx_time_s)),
 y AS (SELECT *, list_sort(list_transform(spans, lambda q, i: {{'d': CASE WHEN approx_time_s >= q.xmin - {TOLERANCE} AND approx_time_s <= q.xmax + {TOLERANCE} THEN 0.0::DOUBLE ELSE least(abs(approx_time_s - q.xmin), abs(approx_time_s - q.xmax)) END, 'i': i, 'label': q.label}}))[1] AS m FROM x),
 co AS (SELECT *, coalesce(m.d = 0, false) AS coincides, coalesce(m.label, '') AS label, round_even(m.d, 3) AS distance FROM y)"""
 
@@ -122,16 +123,13 @@ k AS (SELECT *, CASE WHEN op = 'insert' AND coalesce(truncated, false) THEN 'ref
 
 
 def categorized(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "error_rows").groupBy("error_id").agg(F.min_by(F.struct("ref_sentence", "hyp_sentence"), "logged_at").alias("s"))
-    x = coinciding(spark, d).join(first, "error_id")
-    truncated = ops.reference_truncated(normalize(F.col("s.ref_sentence")), normalize(F.col("s.hyp_sentence")))
-    return x.withColumn("category", ops.classify(F.col("op"), F.col("ref_word"), F.col("hyp_word"), F.col("ref_context"), F.col("coincides"), truncated)).drop("s")
+    x = coinciding(spark, d, "ref_sentence", "hyp_sentence")
+    truncated = ops.reference_truncated(normalize(F.col("ref_sentence")), normalize(F.col("hyp_sentence")))
+    return x.withColumn("category", ops.classify(F.col("op"), F.col("ref_word"), F.col("hyp_word"), F.col("ref_context"), F.col("coincides"), truncated)).drop("ref_sentence", "hyp_sentence")
 
 
 @query(f"WITH {_CLASSES} SELECT category, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (), 4) AS share FROM k GROUP BY category ORDER BY n DESC")
 def error_categories(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     by = categorized(spark, d).groupBy("category").agg(F.count("*").alias("n"))  # a handful of rows
     return by.select("category", "n", F.bround(F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("share")).orderBy(F.desc("n"))
 
@@ -158,14 +156,17 @@ def jaro_winkler_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Likeness of the letters of substituted words."""
     letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
     w = errors(spark, d).filter("op = 'substitute'").select("error_id", letters("ref_word").alias("a"), letters("hyp_word").alias("b")).filter("a <> '' AND b <> ''")
-    return w.select("error_id", F.round(jaro_winkler_similarity(F.col("a"), F.col("b")), 6).alias("likeness"))
+    pairs = w.select("a", "b").distinct()  # each pair of words is compared once
+    scored = pairs.withColumn("likeness", F.round(jaro_winkler_similarity(F.col("a"), F.col("b")), 6))
+    return w.join(scored, ["a", "b"]).select("error_id", "likeness")
 
 
 @query()
 def phonetic_confusion_kappa(spark: SparkSession, d: str) -> DataFrame:
     """How well phonetic likeness predicts that a substitution coincides with a mispronounced phone."""
-    x = coinciding(spark, d).filter("op = 'substitute'").select(phonetic_similar(F.col("ref_word"), F.col("hyp_word")).alias("pred"), "coincides")
-    return x.agg(*ops.agreement(F.col("pred"), F.col("coincides")))
+    by = coinciding(spark, d).filter("op = 'substitute'").groupBy("ref_word", "hyp_word", "coincides").agg(F.count("*").alias("n"))
+    like = by.withColumn("pred", phonetic_similar(F.col("ref_word"), F.col("hyp_word")))  # once for a pair of words
+    return like.agg(*ops.agreement(F.col("pred"), F.col("coincides"), F.col("n")))
 
 
 _RULE = f"""CASE why_category WHEN 'accent_phoneme' THEN op IN ('substitute', 'delete') AND {_A} <> '' WHEN 'hallucination' THEN op IN ('insert', 'substitute') AND {_B} <> '' AND NOT contains(lower(coalesce(ref_context, '')), {_B})
@@ -179,6 +180,18 @@ def rule_audit(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.col("why_category").alias("category")).agg(F.count("*").alias("n"), F.count_if(holds).alias("n_hold"))
 
 
+@query(
+    f"""WITH {E}, x AS (SELECT why_category AS category, error_id, row_number() OVER (PARTITION BY why_category ORDER BY error_id) AS r FROM e WHERE trim(why_category) <> '' AND NOT coalesce({_RULE}, false)) SELECT category, r AS example, error_id FROM x WHERE r <= 5"""
+)
+def rule_audit_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The first five errors of each category that break its rule."""
+    e = errors(spark, d).filter(F.trim("why_category") != "")
+    holds = F.coalesce(ops.rule_holds(F.col("why_category"), F.col("op"), F.col("ref_word"), F.col("hyp_word"), F.col("ref_context")), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("category").orderBy("error_id"))
+    broken = e.filter(~holds).select(F.col("why_category").alias("category"), "error_id").withColumn("example", rank)
+    return broken.filter("example <= 5").select("category", F.col("example").cast("long").alias("example"), "error_id")
+
+
 @query(f"WITH {E} SELECT condition, count(*) AS n, count(*) FILTER (trim(coalesce(why_category, '')) <> '') AS n_labelled, round(count(*) FILTER (trim(coalesce(why_category, '')) <> '') / count(*), 6) AS share FROM e GROUP BY ALL")
 def annotation_completion(spark: SparkSession, d: str) -> DataFrame:
     done = F.count_if(F.trim(F.coalesce("why_category", F.lit(""))) != "")
@@ -209,6 +222,7 @@ def composite_key_join(spark: SparkSession, d: str) -> DataFrame:
     return e.join(flags, on, "left").select("error_id", F.coalesce("flag", F.lit(False)).alias("flag"))
 
 
-@query(f"WITH {U}, {SPANS} SELECT utt_id, dataset FROM u WHERE EXISTS (SELECT 1 FROM s WHERE s.utt_id = u.utt_id)")
+@query(f"WITH {U}, {SPANS} SELECT utt_id, dataset FROM u WHERE EXISTS (SELECT 1 FROM s WHERE s.key = {KEY.format('u.utt_id')})")
 def annotated_semi(spark: SparkSession, d: str) -> DataFrame:
-    return utterances(spark, d).join(table(spark, d, "phone_annotations"), "utt_id", "left_semi").select("utt_id", "dataset")
+    annotated = table(spark, d, "phone_annotations").select(utterance_key(F.col("utt_id")).alias("key"))
+    return utterances(spark, d).withColumn("key", utterance_key(F.col("utt_id"))).join(annotated, "key", "left_semi").select("utt_id", "dataset")

@@ -10,12 +10,12 @@ from lectern.operators import corpus, ngram, rescoring, sampling
 from lectern.plans.base import PAIRS, H, U, hypotheses, md5_int, norm, query, scored_hypotheses, toks, utterances
 from lectern.plans.scoring import cluster_key
 from lectern.sources.tables import table
-from lectern.storage import stored
+from lectern.storage import once, scratch, stored
 
-ORDER, ADD_K, WEIGHT, SEED, DEV_SHARE, FUSION = 3, 0.1, 0.7, "1234", 0.34, 0.3
+ORDER, ADD_K, WEIGHT, SEED, DEV_SHARE, FUSION = 4, 0.1, 0.7, "1234", 0.34, 0.3
 GRID = [0.0, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0]
 DEPTHS = [1, 2, 3, 5, 10]
-N_BOOT = 200
+N_BOOT = 10_000
 
 # ---- corpora -----------------------------------------------------------------------------------
 
@@ -41,12 +41,12 @@ def evaluation(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CAND} SELECT src, bucket, count(*) AS n FROM b GROUP BY ALL")
 def corpus_provenance(spark: SparkSession, d: str) -> DataFrame:
     """In which bucket every candidate sentence falls, by source."""
-    return corpus.with_provenance(candidates(spark, d), evaluation(spark, d), "src", ["id", "sent_pos"]).groupBy("src", "bucket").agg(F.count("*").alias("n"))
+    return corpus.provenance(candidates(spark, d), evaluation(spark, d), "src")
 
 
 @query(f"WITH {_CAND} SELECT src, id, sent_pos, norm FROM b WHERE bucket = 'kept'")
 def dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.with_provenance(candidates(spark, d), evaluation(spark, d), "src", ["id", "sent_pos"]).filter("bucket = 'kept'").select("src", "id", "sent_pos", "norm")
+    return corpus.kept(candidates(spark, d), evaluation(spark, d), "src", ["id", "sent_pos"])
 
 
 @query(f"WITH {_CAND} SELECT id, sent_pos FROM n WHERE norm NOT IN (SELECT norm FROM ev WHERE norm IS NOT NULL)")
@@ -62,35 +62,49 @@ def leakage_intersect(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- language model ----------------------------------------------------------------------------
 
-_TRAIN = f"""{PAIRS}, tr AS (SELECT {toks('text')} AS t FROM u WHERE lower(trim(split)) = 'train' AND text IS NOT NULL),
-tp AS (SELECT list_concat(['<s>', '<s>'], list_append(t, '</s>')) AS t FROM tr WHERE len(t) > 0),
-g AS (SELECT k, array_to_string(list_slice(t, i, i + k - 1), ' ') AS gram FROM (SELECT t, k, unnest(generate_series(1, len(t) - k + 1)) AS i FROM (SELECT t, unnest([1, 2, 3]) AS k FROM tp))),
-n AS (SELECT k, gram, count(*) AS n FROM g GROUP BY ALL),
-m AS (SELECT sum(n) AS total, count(*) FILTER (gram <> '<s>') + 1 AS v FROM n WHERE k = 1)"""
+# Trained on the guarded corpus: the first of equal sentences of manifest and documents, without
+# evaluation sentences.
+_PADS = "[" + ", ".join(["'<s>'"] * (ORDER - 1)) + "]"
+_TRAIN = f"""{PAIRS}, {_CAND.removeprefix(U + ', ')}, tr AS (SELECT list_filter(string_split(norm, ' '), lambda t: t <> '') AS t FROM b WHERE bucket = 'kept'),
+tp AS (SELECT list_concat({_PADS}, list_append(t, '</s>')) AS t FROM tr WHERE len(t) > 0),
+g AS (SELECT k, array_to_string(list_slice(t, i, i + k - 1), ' ') AS gram FROM (SELECT t, k, unnest(generate_series(1, len(t) - k + 1)) AS i FROM (SELECT t, unnest({list(range(1, ORDER + 1))}) AS k FROM tp))),
+ng AS (SELECT k, gram, count(*) AS n FROM g GROUP BY ALL),
+m AS (SELECT sum(n) AS total, count(*) FILTER (gram <> '<s>') + 1 AS v FROM ng WHERE k = 1)"""
 
 
 def _score_sql(source: str) -> str:
     """(key, logprob, n_tokens, per_word) of ``source`` (key, t)."""
-    return f"""sp AS (SELECT key, list_concat(['<s>', '<s>'], list_append(t, '</s>')) AS t FROM ({source})),
-sr AS (SELECT key, i, t[i] AS w1, t[i - 1] || ' ' || t[i] AS w2, t[i - 2] || ' ' || t[i - 1] || ' ' || t[i] AS w3, t[i - 1] AS h2, t[i - 2] || ' ' || t[i - 1] AS h3 FROM (SELECT key, t, unnest(generate_series(3, len(t))) AS i FROM sp)),
-sc AS (SELECT sr.key, (coalesce(a.n, 0) + {ADD_K}) / ((SELECT total FROM m) + {ADD_K} * (SELECT v FROM m)) AS p1, coalesce(b.n, 0) AS c2, coalesce(x.n, 0) AS n2, coalesce(c.n, 0) AS c3, coalesce(y.n, 0) AS n3 FROM sr
-  LEFT JOIN n a ON a.k = 1 AND a.gram = w1 LEFT JOIN n b ON b.k = 2 AND b.gram = w2 LEFT JOIN n c ON c.k = 3 AND c.gram = w3 LEFT JOIN n x ON x.k = 1 AND x.gram = h2 LEFT JOIN n y ON y.k = 2 AND y.gram = h3),
-sq AS (SELECT key, c3, n3, CASE WHEN n2 > 0 THEN {WEIGHT} * (c2 / n2) + {1 - WEIGHT} * p1 ELSE p1 END AS p2 FROM sc),
-st AS (SELECT key, sum(ln(greatest(CASE WHEN n3 > 0 THEN {WEIGHT} * (c3 / n3) + {1 - WEIGHT} * p2 ELSE p2 END, 1e-12))) AS logprob, count(*) - 1 AS n_tokens FROM sq GROUP BY key),
+    gram = lambda first, last: " || ' ' || ".join(f"t[i - {j}]" for j in range(first, last - 1, -1))
+    ks = range(2, ORDER + 1)
+    words = ", ".join([f"{gram(k - 1, 0)} AS w{k}" for k in range(1, ORDER + 1)] + [f"{gram(k - 1, 1)} AS h{k}" for k in ks])
+    counts = ", ".join(f"coalesce(c{k}.n, 0) AS c{k}, coalesce(b{k}.n, 0) AS n{k}" for k in ks)
+    joins = " ".join([f"LEFT JOIN ng c{k} ON c{k}.k = {k} AND c{k}.gram = w{k}" for k in range(1, ORDER + 1)] + [f"LEFT JOIN ng b{k} ON b{k}.k = {k - 1} AND b{k}.gram = h{k}" for k in ks])
+    p = "p1"
+    for k in ks:
+        p = f"(CASE WHEN n{k} > 0 THEN {WEIGHT} * (c{k} / n{k}) + {1 - WEIGHT} * {p} ELSE {p} END)"
+    return f"""sp AS (SELECT key, list_concat({_PADS}, list_append(t, '</s>')) AS t FROM ({source})),
+sr AS (SELECT key, {words} FROM (SELECT key, t, unnest(generate_series({ORDER}, len(t))) AS i FROM sp)),
+sc AS (SELECT sr.key, (coalesce(c1.n, 0) + {ADD_K}) / ((SELECT total FROM m) + {ADD_K} * (SELECT v FROM m)) AS p1, {counts} FROM sr {joins}),
+st AS (SELECT key, sum(ln(greatest({p}, 1e-12))) AS logprob, count(*) - 1 AS n_tokens FROM sc GROUP BY key),
 lm AS (SELECT key, logprob, n_tokens, logprob / (n_tokens + 1) AS per_word FROM st)"""
 
 
 def trained(spark: SparkSession, d: str) -> ngram.NGramModel:
-    train = utterances(spark, d).filter("lower(trim(split)) = 'train' AND text IS NOT NULL").select(tokens(F.col("text")).alias("t"))
-    return ngram.NGramModel(stored(ngram.ngram_counts(train, "t", ORDER), "ngram-counts"), ORDER, ADD_K, WEIGHT)
+    """The model of a folder's guarded corpus: its counts are stored by the first query that needs them."""
 
+    def build() -> DataFrame:
+        kept = corpus.kept(candidates(spark, d), evaluation(spark, d), "src", ["id", "sent_pos"])
+        return ngram.ngram_counts(kept.select(F.split("norm", " ").alias("t")), "t", ORDER)
 
-@query(f"WITH {_TRAIN} SELECT k, gram, n FROM n")
+    return ngram.NGramModel(once(spark, d, "ngram-counts", build), ORDER, ADD_K, WEIGHT)
+
+
+@query(f"WITH {_TRAIN} SELECT k, gram, n FROM ng")
 def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
     return trained(spark, d).counts
 
 
-@query(f"WITH {_TRAIN} SELECT k, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n_total FROM n GROUP BY k")
+@query(f"WITH {_TRAIN} SELECT k, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n_total FROM ng GROUP BY k")
 def ngram_stats(spark: SparkSession, d: str) -> DataFrame:
     return ngram.ngram_stats(trained(spark, d).counts)
 
@@ -115,42 +129,22 @@ def perplexity(spark: SparkSession, d: str) -> DataFrame:
     return s.agg(F.round(ngram.perplexity_micro(s), 4).alias("micro"), F.round(macro, 4).alias("macro"))
 
 
-# The reference's model: 4-grams of the guarded corpus (first of equal sentences of manifest and
-# documents, without evaluation sentences). The queries above keep what their SQL states: ORDER-grams
-# of the training texts as they are.
-
-CORPUS_ORDER = 4
-
-
-def trained_on_corpus(spark: SparkSession, d: str) -> ngram.NGramModel:
-    kept = corpus.with_provenance(candidates(spark, d), evaluation(spark, d), "src", ["id", "sent_pos"]).filter("bucket = 'kept'")
-    train = kept.select(F.filter(F.split("norm", " "), lambda t: t != "").alias("t"))
-    return ngram.NGramModel(stored(ngram.ngram_counts(train, "t", CORPUS_ORDER), "corpus-ngram-counts"), CORPUS_ORDER, ADD_K, WEIGHT)
-
-
-@query()
-def corpus_ngram_counts(spark: SparkSession, d: str) -> DataFrame:
-    return trained_on_corpus(spark, d).counts
-
-
-@query()
-def corpus_interpolated_logprob(spark: SparkSession, d: str) -> DataFrame:
-    """The held-out texts under the model of the guarded corpus."""
-    held = utterances(spark, d).filter("lower(trim(split)) IN ('validation', 'dev') AND text IS NOT NULL").select("utt_id", tokens(F.col("text")).alias("t"))
-    return trained_on_corpus(spark, d).logprobs(held, "utt_id", "t").select("utt_id", F.round("logprob", 6).alias("logprob"), F.round("per_word", 6).alias("per_word"))
-
-
 # ---- n-best lists ------------------------------------------------------------------------------
 
 _NBEST = f"""{_TRAIN}, {_score_sql('SELECT hyp_id AS key, hyp AS t FROM p')}, nb AS (SELECT p.utt_id, accent, cefr, CAST(pos AS BIGINT) * 1000000000 + hyp_id AS pos, p.text, acoustic, round(per_word, 9) AS lm, edits, n_ref FROM p JOIN lm ON lm.key = p.hyp_id WHERE n_ref > 0)"""
 
 
 def nbest(spark: SparkSession, d: str) -> DataFrame:
-    """Lists with both scores and the edits of every entry, stored: each entry is scored and aligned once."""
-    h = stored(scored_hypotheses(spark, d).filter("n_ref > 0"), "scored-hypotheses")
-    lm = trained(spark, d).logprobs(h.select("hyp_id", "hyp"), "hyp_id", "hyp").select("hyp_id", F.round("per_word", 9).alias("lm"))
-    pos = (F.col("pos").cast("long") * 1_000_000_000 + F.col("hyp_id")).alias("pos")
-    return stored(h.join(lm, "hyp_id").select("utt_id", "accent", "cefr", pos, "text", "acoustic", "lm", "edits", "n_ref"), "nbest")
+    """Lists with both scores and the edits of every entry: scored and aligned by the first query of a session
+    that needs them."""
+
+    def build() -> DataFrame:
+        h = stored(scored_hypotheses(spark, d).filter("n_ref > 0"), "scored-hypotheses")
+        lm = trained(spark, d).logprobs(h.select("hyp_id", "hyp"), "hyp_id", "hyp").select("hyp_id", F.round("per_word", 9).alias("lm"))
+        pos = (F.col("pos").cast("long") * 1_000_000_000 + F.col("hyp_id")).alias("pos")
+        return h.join(lm, "hyp_id").select("utt_id", "accent", "cefr", pos, "text", "acoustic", "lm", "edits", "n_ref")
+
+    return once(spark, d, "nbest", build)
 
 
 def _pick(col: str, w: str) -> str:
@@ -198,7 +192,7 @@ def best_lambda(spark: SparkSession, d: str) -> DataFrame:
 def rescored_strata(spark: SparkSession, d: str) -> DataFrame:
     """Micro error by accent. A rate of zero is a value: only a missing rate gives a NULL difference."""
     lists = nbest(spark, d)
-    r = rescoring.rescored(lists, FUSION).join(lists.select("utt_id", "accent").distinct(), "utt_id")
+    r = rescoring.rescored(lists, FUSION, "accent")
     rate = lambda c: F.round(F.sum(c) / F.sum("n_ref"), 6)
     return r.groupBy(F.coalesce("accent", F.lit("unknown")).alias("accent")).agg(F.count("*").alias("n"), rate("edits_baseline").alias("wer_baseline"), rate("edits_adapted").alias("wer_adapted"), F.round((F.sum("edits_adapted") - F.sum("edits_baseline")) / F.sum("n_ref"), 6).alias("delta"))
 
@@ -256,14 +250,45 @@ def per_group_cap(spark: SparkSession, d: str) -> DataFrame:
     return sampling.cap_per_group(u, "recording", ["utt_id"], 5).select("utt_id")
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT DISTINCT error_id, why_category FROM error_rows WHERE trim(why_category) <> ''), z AS (SELECT why_category AS s, count(*) AS c FROM e GROUP BY 1),
+    x AS (SELECT s, unnest(generate_series(1, c - 4)) AS rest FROM z WHERE c > 4), p AS (SELECT s, row_number() OVER (ORDER BY rest DESC, s) AS r FROM x),
+    w AS (SELECT s, least(c, 4) + (SELECT count(*) FROM p WHERE p.s = z.s AND r <= 50 - (SELECT sum(least(c, 4)) FROM z)) AS most FROM z),
+    k AS (SELECT error_id, why_category, row_number() OVER (PARTITION BY why_category ORDER BY md5('{SEED}|' || error_id)) AS r FROM e) SELECT error_id, why_category FROM k JOIN w ON s = why_category WHERE r <= most"""
+)
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """Fifty errors over the categories of the log, at least four of each."""
     e = table(spark, d, "error_rows").dropDuplicates(["error_id"]).filter(F.trim("why_category") != "").select("error_id", "why_category")
     return sampling.stratified_sample(stored(e, "labelled"), "why_category", "error_id", 50, SEED)
 
 
-_BOOT = f"d AS (SELECT b, {md5_int(chr(39) + SEED + '|' + chr(39) + ' || b || ' + chr(39) + '|' + chr(39) + ' || i')} % (SELECT count(*) FROM x) AS idx FROM (SELECT unnest(generate_series(0, {N_BOOT - 1})) AS b), (SELECT unnest(generate_series(0, (SELECT count(*) FROM x) - 1)) AS i)), y AS (SELECT b, sum(eb) / sum(n_ref) AS wb, sum(ea) / sum(n_ref) AS wa, (sum(ea) - sum(eb)) / sum(n_ref) AS dl FROM d JOIN x USING (idx) GROUP BY b)"
+@query(f"WITH {U} SELECT utt_id, dataset FROM u ORDER BY loaded_at, utt_id LIMIT 100")
+def first_in_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred utterances of the manifest, by arrival."""
+    u = table(spark, d, "utterances").filter("utt_id IS NOT NULL").groupBy("utt_id").agg(F.min_by("dataset", "loaded_at").alias("dataset"), F.min("loaded_at").alias("at"))
+    return u.orderBy("at", "utt_id").limit(100).select("utt_id", "dataset")
+
+
+@query(f"WITH {U}, r AS (SELECT utt_id, row_number() OVER (PARTITION BY regexp_replace(utt_id, '_[^_]*$', '') ORDER BY utt_id) AS r FROM u) SELECT utt_id FROM r WHERE r <= 5 ORDER BY utt_id LIMIT 200")
+def capped_subset(spark: SparkSession, d: str) -> DataFrame:
+    """At most five utterances of a recording and two hundred in all."""
+    return per_group_cap(spark, d).orderBy("utt_id").limit(200)
+
+
+@query(f"WITH {_TRAIN} SELECT k, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n_total FROM ng GROUP BY k")
+def saved_model(spark: SparkSession, d: str) -> DataFrame:
+    """The model saved and loaded again."""
+    path = scratch(spark, "model")
+    trained(spark, d).save(path)
+    return ngram.ngram_stats(ngram.NGramModel.load(spark, path).counts)
+
+
+_DRAWS = "(SELECT wb: sum(eb * t) / sum(n_ref * t), wa: sum(ea * t) / sum(n_ref * t), dl: (sum(ea * t) - sum(eb * t)) / sum(n_ref * t) FROM {} GROUP BY b)"
+_BS = f"(SELECT unnest(generate_series(0, {N_BOOT - 1})) AS b)"
+_V = f"v0 AS (SELECT *, v % 4294967296 AS v0 FROM dr), v1 AS (SELECT *, xor(v0, v0 >> 16) * 73244475 % 4294967296 AS v1 FROM v0), v2 AS (SELECT *, xor(v1, v1 >> 15) * 295559667 % 4294967296 AS v2 FROM v1), v3 AS (SELECT *, xor(v2, v2 >> 16) AS u FROM v2)"
+_CLUSTER_BOOT = f"dr AS (SELECT b, {SEED} + i * {sampling.UNIT_STEP} % 4294967296 + b * {sampling.DRAW_STEP} AS v FROM {_BS}, (SELECT unnest(generate_series(0, (SELECT count(*) FROM x) - 1)) AS i)), {_V}, y AS {_DRAWS.format('(SELECT b, 1 AS t, eb, ea, n_ref FROM v3 JOIN x ON x.idx = u % (SELECT count(*) FROM x))')}"
+_POISSON = " + ".join(f"CAST(u >= {t} AS INTEGER)" for t in sampling.POISSON)
+_UNIT_BOOT = f"dr AS (SELECT b, eb, ea, n_ref, h + b * {sampling.DRAW_STEP} AS v FROM {_BS}, x), {_V}, y AS {_DRAWS.format(f'(SELECT b, {_POISSON} AS t, eb, ea, n_ref FROM v3)')}"
 
 
 def _ends(c: str, name: str) -> str:
@@ -274,32 +299,33 @@ def _ends(c: str, name: str) -> str:
 _SIGNIFICANCE = f"SELECT {_ends('wb', 'wer_baseline')}, {_ends('wa', 'wer_adapted')}, {_ends('dl', 'delta')}, avg(CASE WHEN dl >= 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS p, avg(CASE WHEN dl >= 0 THEN 1.0::DOUBLE ELSE 0.0 END) < 0.05 AND list_sort(list(dl))[{int(0.975 * N_BOOT) + 1}] < 0 AS significant FROM y"
 
 
-def _significance(units: DataFrame, key: str) -> DataFrame:
-    s = sampling.significance(sampling.bootstrap(units, key, N_BOOT, SEED), N_BOOT)
+def _significance(draws: DataFrame) -> DataFrame:
+    s = sampling.significance(draws, N_BOOT)
     return s.select(*[F.round(c, 6).alias(c) for c in s.columns[:6]], "p", "significant")
 
 
-@query(f"WITH {_NBEST}, {_RESCORED}, x AS (SELECT eb, ea, n_ref, row_number() OVER (ORDER BY utt_id) - 1 AS idx FROM r), {_BOOT} {_SIGNIFICANCE}")
+@query(f"WITH {_NBEST}, {_RESCORED}, x AS (SELECT eb, ea, n_ref, {md5_int(chr(39) + SEED + '|' + chr(39) + ' || utt_id')} AS h FROM r), {_UNIT_BOOT} {_SIGNIFICANCE}")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Paired bootstrap over utterances."""
+    """Paired Poisson bootstrap over utterances."""
     r = rescoring.rescored(nbest(spark, d), FUSION).select("utt_id", "n_ref", F.col("edits_baseline").alias("e_base"), F.col("edits_adapted").alias("e_adapt"))
-    return _significance(r, "utt_id")
+    return _significance(sampling.poisson_bootstrap(r, "utt_id", N_BOOT, SEED))
 
 
 _CLUSTER = "CASE WHEN len(string_split(utt_id, '_')) >= 3 AND starts_with(utt_id, 'l2arctic') THEN string_split(utt_id, '_')[2] ELSE utt_id END"
 
 
-@query(f"WITH {_NBEST}, {_RESCORED}, x AS (SELECT sum(eb) AS eb, sum(ea) AS ea, sum(n_ref) AS n_ref, row_number() OVER (ORDER BY {_CLUSTER}) - 1 AS idx FROM r GROUP BY {_CLUSTER}), {_BOOT} {_SIGNIFICANCE}")
+@query(f"WITH {_NBEST}, {_RESCORED}, x AS (SELECT sum(eb) AS eb, sum(ea) AS ea, sum(n_ref) AS n_ref, row_number() OVER (ORDER BY {_CLUSTER}) - 1 AS idx FROM r GROUP BY {_CLUSTER}), {_CLUSTER_BOOT} {_SIGNIFICANCE}")
 def cluster_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Paired bootstrap over speakers, whose sums are aggregated first."""
     r = rescoring.rescored(nbest(spark, d), FUSION).groupBy(cluster_key().alias("cluster"))
-    return _significance(r.agg(F.sum("n_ref").alias("n_ref"), F.sum("edits_baseline").alias("e_base"), F.sum("edits_adapted").alias("e_adapt")), "cluster")
+    sums = r.agg(F.sum("n_ref").alias("n_ref"), F.sum("edits_baseline").alias("e_base"), F.sum("edits_adapted").alias("e_adapt"))
+    return _significance(sampling.bootstrap(sums, "cluster", N_BOOT, int(SEED)))
 
 
 # ---- further ------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_TRAIN} SELECT gram, round((n + {ADD_K}) / ((SELECT total FROM m) + {ADD_K} * (SELECT v FROM m)), 9) AS p FROM n WHERE k = 1")
+@query(f"WITH {_TRAIN} SELECT gram, round((n + {ADD_K}) / ((SELECT total FROM m) + {ADD_K} * (SELECT v FROM m)), 9) AS p FROM ng WHERE k = 1")
 def unigram_probabilities(spark: SparkSession, d: str) -> DataFrame:
     """Smoothed unigram estimates of the model's vocabulary."""
     model = trained(spark, d)

@@ -63,6 +63,12 @@ def read_nbest_cache(spark: SparkSession, path: str) -> DataFrame:
     return raw.filter("utt_id IS NOT NULL").groupBy("utt_id").agg(F.max_by("hyps", F.struct("file", "line")).alias("hyps")).select("utt_id", hyps.alias("hyps"))
 
 
+def write_phones(rows: DataFrame, path: str) -> None:
+    """Phone annotations as JSON lines, with the fields of ``PHONES``."""
+    span = lambda x: F.struct(*[x[c].alias(c) for c in ("xmin", "xmax", "canonical", "perceived", "err_type")])
+    rows.select("utt_id", F.transform("phones", span).alias("phones")).write.mode("overwrite").json(path)
+
+
 def read_phones(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PHONES).json(path)
 

@@ -19,12 +19,19 @@ def chunk_plan(rows: DataFrame, n: str, chunk: str, left: str) -> DataFrame:
     return of.withColumn("end_ms", end.cast("long")).withColumn("start_ms", F.greatest(F.lit(0), F.col("end_ms") - F.col(left) - F.col(chunk)).cast("long"))
 
 
-def emitted_words(words: Column, slack: float = SLACK) -> Column:
-    """Of words (w, start, end), in order of start, those that begin no earlier than the last end kept, less the slack."""
-    ordered = F.array_sort(words, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] < b["end"], -1).otherwise(F.when(a["end"] > b["end"], 1).otherwise(0)))
-    begin = F.struct(F.lit(0.0).alias("last"), F.slice(words, 1, 0).alias("kept"))
+def emitted_words(words: Column, chunk_ms: Column | None = None, n_ms: Column | None = None, slack: float = SLACK) -> Column:
+    """Of words (w, start, end) those that a stream emits, in its order.
+
+    A word is first heard whole in the chunk whose window ends no earlier than the word, less the slack; with
+    ``chunk_ms`` words come by that chunk, and those that end after the recording's ``n_ms`` never
+    come. It is emitted if it begins no earlier than the last end emitted, less the slack: since that only
+    grows, a word that is refused once is refused in all later windows."""
+    chunk = lambda w: F.greatest(F.lit(0), F.ceil((w["end"] - slack) * 1000 / chunk_ms) - 1) if chunk_ms is not None else F.lit(0)
+    heard = words if n_ms is None else F.filter(words, lambda w: w["end"] <= n_ms / 1000 + slack)
+    ordered = F.array_sort(F.transform(heard, lambda w: F.struct(chunk(w).cast("long").alias("chunk"), w["start"].alias("start"), w["end"].alias("end"), w["w"].alias("w"))))
+    begin = F.struct(F.lit(0.0).alias("last"), F.slice(ordered, 1, 0).alias("kept"))
     step = lambda s, w: F.when(w["start"] >= s["last"] - slack, F.struct(F.greatest(s["last"], w["end"]).alias("last"), F.concat(s["kept"], F.array(w)).alias("kept"))).otherwise(s)
-    return F.aggregate(ordered, begin, step, lambda s: s["kept"])
+    return F.transform(F.aggregate(ordered, begin, step, lambda s: s["kept"]), lambda w: F.struct(w["w"].alias("w"), w["start"].alias("start"), w["end"].alias("end")))
 
 
 def emit_stream(words: DataFrame, key: str = "utt_id", slack: float = SLACK, timeout_ms: int | None = 3_600_000) -> DataFrame:

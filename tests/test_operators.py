@@ -42,13 +42,21 @@ def test_nearest_span(spark):
 
 def test_provenance_precedence(spark):
     rows = [(0, "a", 0, "Held out"), (0, "b", 0, "x"), (0, "c", 0, "Keep this!"), (1, "d", 0, "keep THIS"), (1, "e", 0, "held, out")]
-    got = corpus.with_provenance(spark.createDataFrame(rows, "src int, id string, sent_pos int, sentence string"), spark.createDataFrame([("held out",)], "sentence string"), "src", ["id", "sent_pos"])
-    assert {r.id: r.bucket for r in got.collect()} == {"a": "leakage", "b": "too_short", "c": "kept", "d": "duplicate", "e": "leakage"}
+    c, ev = spark.createDataFrame(rows, "src int, id string, sent_pos int, sentence string"), spark.createDataFrame([("held out",)], "sentence string")
+    assert [r.id for r in corpus.kept(c, ev, "src", ["id", "sent_pos"]).collect()] == ["c"]
+    assert Counter({r.bucket: r.n for r in corpus.provenance(c, ev, "src").groupBy("bucket").sum("n").withColumnRenamed("sum(n)", "n").collect()}) == Counter(leakage=2, too_short=1, kept=1, duplicate=1)
     with pytest.raises(ValueError):
-        corpus.assert_leakage_free(got, spark.createDataFrame([("KEEP this",)], "sentence string"))
+        corpus.assert_leakage_free(c, spark.createDataFrame([("KEEP this",)], "sentence string"))
 
 
-def test_ngram_model_against_plain_python(spark):
+def test_a_sentence_that_recurs_in_both_sources(spark):
+    rows = [(s, f"{i:03}", 0, "The same line!" if i % 3 else f"line number {i}") for s in (1, 0) for i in range(90)]
+    c, ev = spark.createDataFrame(rows, "src int, id string, sent_pos int, sentence string"), spark.createDataFrame([("other",)], "sentence string")
+    assert {(r.src, r.bucket): r.n for r in corpus.provenance(c, ev, "src").collect()} == {(0, "kept"): 31, (0, "duplicate"): 59, (1, "duplicate"): 90}
+    assert {(r.src, r.id) for r in corpus.kept(c, ev, "src", ["id", "sent_pos"]).collect()} == {(0, f"{i:03}") for i in range(90) if not i % 3} | {(0, "001")}
+
+
+def test_ngram_model_against_plain_python(spark, tmp_path):
     sents = ["a b a", "a b c", "c", ""]
     order, add_k, lam = 3, 0.1, 0.7
     counts = Counter()
@@ -71,11 +79,17 @@ def test_ngram_model_against_plain_python(spark):
         return out
 
     df = spark.createDataFrame([(i, s.split()) for i, s in enumerate(sents)], "id int, t array<string>")
+    grams = {(r.k, tuple(r.gram.split())): r.n for r in ngram.ngram_counts(df, "t", order).collect()}
+    assert grams == {(len(g), g): n for g, n in counts.items()}
     model = ngram.NGramModel(ngram.ngram_counts(df, "t", order), order, add_k, lam)
     test = ["a b", "z a", "", "c c c"]
     got = {r.id: r for r in model.logprobs(spark.createDataFrame([(i, s.split()) for i, s in enumerate(test)], "id int, t array<string>"), "id", "t").collect()}
     for i, s in enumerate(test):
         assert abs(got[i].logprob - logprob(s)) < 1e-9 and got[i].n_tokens == len(s.split())
+    model.save(f"{tmp_path}/model")
+    again = ngram.load_model(f"ngram:{tmp_path}/model")(spark.createDataFrame([(1, ["a", "b"])], "id int, t array<string>"), "id", "t").first()
+    assert abs(again.logprob - logprob("a b")) < 1e-9
+    assert ngram.ngram_counts(df.limit(0), "t", order).collect() == []
 
 
 def test_model_registry():
@@ -112,12 +126,30 @@ def test_allocation_and_caps(spark):
     assert sorted((r.g, r.i) for r in sampling.cap_per_group(df, "g", ["i"], 2).collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
 
 
-def test_bootstrap(spark):
+def _units(n=60):
     r = random.Random(1)
-    units = [(f"u{i:03}", 10, r.randrange(4) + 1, r.randrange(2)) for i in range(60)]
-    draws = sampling.bootstrap(spark.createDataFrame(units, "k string, n_ref int, e_base int, e_adapt int"), "k", 100, "7")
+    return [(f"u{i:03}", 10, r.randrange(4) + 1, r.randrange(2)) for i in range(n)]
+
+
+def test_bootstrap(spark):
+    units = spark.createDataFrame(_units(), "k string, n_ref int, e_base int, e_adapt int")
+    draws = sampling.bootstrap(units, "k", 100, 7)
     s = sampling.significance(draws, 100).first()
     assert draws.count() == 100 and s.significant and s.p == 0.0 and s.delta_lo <= s.delta_hi < 0
+    rows = [u[1:] for u in _units()]
+    for r in draws.collect():
+        drawn = [rows[sampling.mixed(7 + i * sampling.UNIT_STEP % 2**32 + r.b * sampling.DRAW_STEP) % 60] for i in range(60)]
+        assert abs(r.wer_baseline - sum(x[1] for x in drawn) / sum(x[0] for x in drawn)) < 1e-12
+    with pytest.raises(ValueError):
+        sampling.bootstrap(units, "k", 10, 7, max_units=59)
+    assert sampling.bootstrap(units.limit(0), "k", 10, 7).collect() == []
+
+
+def test_poisson_bootstrap_has_the_mean_and_spread_of_the_exact_one(spark):
+    units = spark.createDataFrame(_units(300), "k string, n_ref int, e_base int, e_adapt int")
+    exact, poisson = (f(units, "k", 2000, s).agg(F.avg("delta").alias("m"), F.stddev("delta").alias("s")).first() for f, s in ((sampling.bootstrap, 7), (sampling.poisson_bootstrap, "7")))
+    assert abs(exact.m - poisson.m) < exact.s / 5 and abs(exact.s - poisson.s) < exact.s / 5
+    assert sampling.poisson_bootstrap(units.limit(0), "k", 10).collect() == []
 
 
 def test_corpus_model_against_plain_python(spark, tmp_path):
@@ -125,14 +157,14 @@ def test_corpus_model_against_plain_python(spark, tmp_path):
     from lectern.plans import language
 
     u = [("a", "one two three four", "train"), ("b", "One two, three four!", "train"), ("c", "held out words here", "train"), ("d", "Held out words here", "test"), ("e", "two three four five", "dev"), ("f", "x", "train")]
-    cols = "utt_id string, text string, split string, dataset string, wav_path string, duration_s double, speaker string, accent string, cefr string, loaded_at int"
-    spark.createDataFrame([(*r, "", "", 1.0, "", "", "", 0) for r in u], cols).write.parquet(f"{tmp_path}/utterances.parquet")
+    cols = "utt_id string, text string, split string, dataset string, wav_path string, duration_s double, speaker string, accent string, cefr string, extra map<string,string>, loaded_at int"
+    spark.createDataFrame([(*r, "", "", 1.0, "", "", "", None, 0) for r in u], cols).write.parquet(f"{tmp_path}/utterances.parquet")
     spark.createDataFrame([(1, "one two three four\nfour five six seven\nheld out words here"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     counts, order = Counter(), 4
     for s in ("one two three four", "four five six seven"):
         t = ["<s>"] * 3 + s.split() + ["</s>"]
         counts.update((k, " ".join(t[i : i + k])) for k in range(1, order + 1) for i in range(len(t) - k + 1))
-    assert {(r.k, r.gram): r.n for r in language.corpus_ngram_counts(spark, str(tmp_path)).collect()} == counts
+    assert {(r.k, r.gram): r.n for r in language.ngram_counts(spark, str(tmp_path)).collect()} == counts
     total, v = sum(n for (k, _), n in counts.items() if k == 1), len({g for k, g in counts if k == 1} - {"<s>"}) + 1
     t, logprob = ["<s>"] * 3 + "two three four five".split() + ["</s>"], 0.0
     for i in range(3, len(t)):
@@ -141,5 +173,5 @@ def test_corpus_model_against_plain_python(spark, tmp_path):
             h = counts[k - 1, " ".join(t[i - k + 1 : i])]
             p = 0.7 * counts[k, " ".join(t[i - k + 1 : i + 1])] / h + 0.3 * p if h else p
         logprob += math.log(p)
-    got = language.corpus_interpolated_logprob(spark, str(tmp_path)).collect()
+    got = language.interpolated_logprob(spark, str(tmp_path)).collect()
     assert [r.utt_id for r in got] == ["e"] and abs(got[0].logprob - logprob) < 1e-5

@@ -15,6 +15,15 @@ def test_emission_of_a_batch(spark):
     assert [x.w for x in df.select(emitted_words(F.col("w"))).first()[0]] == ["a", "b", "d", "e"]
 
 
+def test_emission_by_chunks(spark):
+    """A word comes with the first chunk that ends no earlier than the word; one that ends after the recording never comes."""
+    words = [("late", 0.1, 0.9), ("a", 0.0, 0.2), ("b", 0.3, 0.5), ("beyond", 1.4, 1.7)]
+    df = spark.createDataFrame([(words,)], "w array<struct<w:string,start:double,end:double>>")
+    assert [x.w for x in df.select(emitted_words(F.col("w"), F.lit(320), F.lit(1500))).first()[0]] == ["a", "b"]
+    assert [x.w for x in df.select(emitted_words(F.col("w"), F.lit(2000), F.lit(1500))).first()[0]] == ["a", "b"]
+    assert [x.w for x in df.select(emitted_words(F.col("w"))).first()[0]] == ["a", "b", "beyond"]
+
+
 def test_emission_of_a_stream_equals_that_of_a_batch(spark, tmp_path):
     schema = "utt_id string, win_end double, start double, end double, w string"
     for i, part in enumerate((WORDS[:2], WORDS[2:])):
