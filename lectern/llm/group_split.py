@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.storage import stored
@@ -47,23 +47,25 @@ def record_ties(rows: DataFrame) -> DataFrame:
     )
 
 
-def _jump(parent: DataFrame, round_: int) -> DataFrame:
-    """(v, root) from (v, up): pointer jumping until every pointer is at a root."""
+def _roots(parent: DataFrame, round_: int) -> DataFrame:
+    """(v, up) with every pointer at a root. A job doubles the pointers' reach twice; all are at
+    roots once the last doubling moves none."""
     step = 0
     while True:
         step += 1
-        a, b = parent.alias("a"), parent.alias("b")
-        nxt = a.join(b, F.col("a.up") == F.col("b.v"), "left").select(F.col("a.v").alias("v"), F.coalesce("b.up", "a.up").alias("up"), (F.coalesce("b.up", "a.up") != F.col("a.up")).alias("moved"))
-        nxt = stored(nxt, f"jump-{round_}-{step}")
-        parent = nxt.select("v", "up")
-        if nxt.filter("moved").limit(1).count() == 0:
-            return parent
+        for _ in range(2):
+            a, b = parent.alias("a"), parent.alias("b")
+            parent = a.join(b, F.col("a.up") == F.col("b.v"), "left").select("a.v", F.coalesce("b.up", "a.up").alias("up"), F.col("a.up").alias("was"))
+        parent = stored(parent, f"roots-{round_}-{step}")
+        if parent.filter("up <> was").isEmpty():
+            return parent.drop("was")
+        parent = parent.drop("was")
 
 
 def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(v, root) for every vertex with an edge, and the forest (u, v) of selected edges.
 
-    ``edges`` has string columns u and v. Labels are 64-bit ids given to the vertices once.
+    ``edges`` has string columns u and v. Vertices get 64-bit ids once; names come back with the result.
     """
     spark = edges.sparkSession
     edges = edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -71,54 +73,51 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = edges.select(F.explode(F.array("u", "v")).alias("name")).distinct()
     # ids in a hashed order: selected edges then form shallow trees with high probability
     names = stored(names.repartition(F.xxhash64("name")).sortWithinPartitions(F.xxhash64("name")).withColumn("id", F.monotonically_increasing_id()), "vertices")
-    live = (
-        edges.join(names.select(F.col("name").alias("u"), F.col("id").alias("a")), "u")
-        .join(names.select(F.col("name").alias("v"), F.col("id").alias("b")), "v")
-        .select("a", "b", F.struct(F.least("a", "b"), F.greatest("a", "b")).alias("e"), "u", "v")
-    )
-    live = stored(live.select("a", "b", "u", "v"), "live-0")
-    label: DataFrame | None = None
+    end = lambda c, to: names.select(F.col("name").alias(c), F.col("id").alias(to))
+    # a, b: components; i, j: the edge's own ends
+    live = edges.join(end("u", "i"), "u").join(end("v", "j"), "v").select(F.col("i").alias("a"), F.col("j").alias("b"), "i", "j")
+    live = stored(live, "live-0")
+    tops: list[DataFrame] = []
     forest: DataFrame | None = None
     round_ = 0
-    while live.limit(1).count():
+    while not live.isEmpty():
         round_ += 1
-        # total order of the contracted edges: their endpoints; parallel edges were reduced to one
-        both = live.select(F.col("a").alias("c"), F.col("b").alias("to"), "u", "v").union(live.select("b", "a", "u", "v"))
-        both = both.withColumn("key", F.struct(F.least("c", "to").alias("lo"), F.greatest("c", "to").alias("hi")))
-        least = both.groupBy("c").agg(F.min(F.struct("key", "to", "u", "v")).alias("m"))
-        chosen = stored(least.select("c", F.col("m.to").alias("to"), F.col("m.u").alias("u"), F.col("m.v").alias("v")), f"chosen-{round_}")
-        picked = chosen.select("u", "v").distinct()
+        # total order of the contracted edges: their ends; parallel edges were reduced to one
+        both = live.select(F.col("a").alias("c"), F.col("b").alias("to"), "i", "j").union(live.select("b", "a", "i", "j"))
+        key = F.struct(F.least("c", "to").alias("lo"), F.greatest("c", "to").alias("hi"), "to", "i", "j")
+        chosen = stored(both.groupBy("c").agg(F.min(key).alias("m")).select("c", "m.to", "m.i", "m.j"), f"chosen-{round_}")
+        picked = chosen.select("i", "j").distinct()
         forest = picked if forest is None else forest.unionByName(picked)
         # mutual choices: the smaller label is the root
         x, y = chosen.alias("x"), chosen.alias("y")
-        parent = x.join(y, F.col("x.to") == F.col("y.c")).select(
-            F.col("x.c").alias("v"), F.when((F.col("y.to") == F.col("x.c")) & (F.col("x.c") < F.col("x.to")), F.col("x.c")).otherwise(F.col("x.to")).alias("up")
-        )
-        roots = _jump(stored(parent, f"parent-{round_}"), round_)
-        ra, rb = roots.select(F.col("v").alias("a"), F.col("up").alias("ra")), roots.select(F.col("v").alias("b"), F.col("up").alias("rb"))
+        mutual = (F.col("y.to") == F.col("x.c")) & (F.col("x.c") < F.col("x.to"))
+        parent = x.join(y, F.col("x.to") == F.col("y.c")).select(F.col("x.c").alias("v"), F.when(mutual, F.col("x.c")).otherwise(F.col("x.to")).alias("up"))
+        top = _roots(parent, round_)
+        tops.append(top)
+        of = lambda c: top.select(F.col("v").alias(c), F.col("up").alias(f"r{c}"))
         live = (
-            live.join(ra, "a").join(rb, "b").filter("ra <> rb")
+            live.join(of("a"), "a").join(of("b"), "b").filter("ra <> rb")
             .groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-            .agg(F.min(F.struct("u", "v")).alias("e"))
-            .select("a", "b", F.col("e.u").alias("u"), F.col("e.v").alias("v"))
+            .agg(F.min(F.struct("i", "j")).alias("e"))
+            .select("a", "b", "e.i", "e.j")
         )
         live = stored(live, f"live-{round_}")
-        if label is None:
-            label = roots.select(F.col("v").alias("id"), F.col("up").alias("root"))
-        else:
-            label = label.join(roots.select(F.col("v").alias("root"), F.col("up").alias("above")), "root", "left").select("id", F.coalesce("above", "root").alias("root"))
-        label = stored(label, f"label-{round_}")
-    if label is None:
+    if not tops:
         return spark.createDataFrame([], "v string, root long"), edges
-    return names.join(label, "id").select(F.col("name").alias("v"), "root"), forest
+    label = tops[0].select(F.col("v").alias("id"), F.col("up").alias("root"))
+    for k, top in enumerate(tops[1:], 2):
+        label = label.join(top.select(F.col("v").alias("root"), F.col("up").alias("above")), "root", "left").select("id", F.coalesce("above", "root").alias("root"))
+        if k % 4 == 0:  # keep the plan short
+            label = stored(label, f"label-{k}")
+    back = lambda c, to: names.select(F.col("id").alias(c), F.col("name").alias(to))
+    return names.join(label, "id").select(F.col("name").alias("v"), "root"), forest.join(back("i", "u"), "i").join(back("j", "v"), "j").select("u", "v")
 
 
 def related_groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(utt_id, group_key) for every record, and the spanning forest."""
+    """(utt_id, group_key) for every record, and the spanning forest, whose rounds are stored."""
     ties = stored(record_ties(rows), "ties")
     edges = ties.select(F.concat(F.lit(RECORDING), "recording").alias("u"), F.explode("codes").alias("code")).select("u", F.concat(F.lit(CODE), "code").alias("v"))
     label, forest = spanning_forest(edges)
-    forest = stored(forest, "forest")
     # vertices' names carry their kind; 'c:' < 'r:', so the least name is a code if there is one
     keys = label.groupBy("root").agg(F.min("v").alias("key"))
     of = label.filter(F.col("v").startswith(RECORDING)).join(keys, "root").select(F.substring("v", 3, 1 << 30).alias("recording"), F.substring("key", 3, 1 << 30).alias("group_key"))
@@ -130,13 +129,17 @@ def deal(groups: DataFrame, shares: dict[str, float], big: float = 0.02, per_buc
 
     Groups over the share ``big`` of all records (at most 1 / big of them) go one by one to the
     split with the most room. All others are dealt within their size band, in hashed order, by
-    systematic sampling with what room is left. A large band is dealt in buckets, each from a
-    start of its own, so that no task ranks a whole band.
+    systematic sampling with what room is left: the split of a band's groups differs from its share by a few
+    groups a bucket, so the shares come out exact up to a few groups of each band and the large ones. A
+    large band is dealt in buckets, each from a start of its own, so that no task ranks a whole band.
     """
-    total = groups.agg(F.sum("size")).first()[0] or 0
+    band = F.floor(F.log2("size"))
+    bands = groups.groupBy(band.alias("band")).agg(F.count("*").alias("c"), F.sum("size").alias("n")).collect()  # one row per power of two
+    total = sum(b.n for b in bands)
     names = list(shares)
     room = {s: shares[s] * total for s in names}
-    large = groups.filter(F.col("size") > max(1.0, big * total)).orderBy(F.desc("size"), "group_key").collect()
+    over = max(1.0, big * total)
+    large = groups.filter(F.col("size") > over).orderBy(F.desc("size"), "group_key").collect() if any(b.n > over for b in bands) else []
     fixed: dict[str, str] = {}
     for g in large:
         to = max(names, key=lambda s: (room[s], -names.index(s)))
@@ -148,11 +151,8 @@ def deal(groups: DataFrame, shares: dict[str, float], big: float = 0.02, per_buc
     for s in names:
         at += left[s] / whole
         bounds.append(at)
-    rest = groups.filter(F.col("size") <= max(1.0, big * total)).withColumn("band", F.floor(F.log2("size")))
-    bands = rest.groupBy("band").agg(F.count("*").alias("c")).collect()  # one row per power of two
+    rest = groups.filter(F.col("size") <= over).withColumn("band", band)
     buckets = F.coalesce(F.create_map(*[x for b in bands for x in (F.lit(b.band), F.lit(math.ceil(b.c / per_bucket)))])[F.col("band")], F.lit(1)) if bands else F.lit(1)
-    from pyspark.sql import Window
-
     rest = rest.withColumn("h", F.xxhash64("group_key")).withColumn("bucket", F.pmod("h", buckets))
     rank = F.row_number().over(Window.partitionBy("band", "bucket").orderBy("h", "group_key"))
     # low-discrepancy deal: rank * golden ratio mod 1 is spread evenly over the splits' intervals

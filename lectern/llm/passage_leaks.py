@@ -37,7 +37,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.words import words_of
-from lectern.storage import stored
 
 SEGMENT_TOKENS = 500_000
 #: doc_ids, lengths: of the segment's documents. sizes: of each term's list of (document, number of
@@ -80,9 +79,9 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def positional_index(documents: DataFrame) -> DataFrame:
-    """The stored index of documents (doc_id, text)."""
+    """The index of documents (doc_id, text), one row a segment; to be stored, once for all searches."""
     rows = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return stored(rows.mapInArrow(_segments, _INDEX), "postings")
+    return rows.mapInArrow(_segments, _INDEX)
 
 
 def _blocks(items: DataFrame, block_words: int) -> Iterator[dict[int, list[list[str]]]]:

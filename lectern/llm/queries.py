@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import format_duplicates, group_split, nearest_time, packing, passage_leaks, residue, split_overlap, term_frequency
 from lectern.sources.tables import table
+from lectern.storage import once
 
 ERROR_FIELDS = ["ref_word", "hyp_word", "pattern_freq"]
 
@@ -44,6 +45,15 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
     return group_split.assign_splits(table(spark, folder, "utterances"))
 
 
+def p3_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """All records have a split, no group has two, and the shares are within a hundredth, or the largest group, of those wanted."""
+    of = group_split.assign_splits(table(spark, folder, "utterances"))
+    groups = of.groupBy("group_key").agg(F.count("*").alias("n"), F.count_distinct("split").alias("splits"), *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "validation", "test")])
+    n = F.sum("n")
+    near = lambda c, share: F.abs(F.sum(c) / n - share) <= F.greatest(F.lit(0.01), F.max("n") / n)
+    return groups.agg(n.alias("n_records"), F.count_if(F.col("splits") != 1).alias("n_torn_groups"), (near("train", 0.8) & near("validation", 0.1) & near("test", 0.1)).alias("shares_hold"))
+
+
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_time.error_phone_pairs(table(spark, folder, "error_rows"), table(spark, folder, "phone_annotations")).withColumn("distance", F.round("distance", 6))
 
@@ -73,15 +83,21 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_passages(spark, folder).select("doc_id", "item_id").distinct()
 
 
-_INDEXES: dict[tuple[str, str], DataFrame] = {}
+def p6_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens are packed once and in order, no window is overfull or has a gap, and the windows are within 2 % of the fewest possible, or the open ones."""
+    pieces = p6_windows(spark, folder)
+    by_doc = pieces.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("piece_start") + F.col("n_tokens")).alias("end"), F.count_distinct("piece").alias("k"), F.count("*").alias("rows"))
+    docs = by_doc.agg(F.count("*").alias("n_documents"), F.count_if((F.col("n") != F.col("end")) | (F.col("k") != F.col("rows"))).alias("n_torn_documents"), F.sum("n").alias("tokens"))
+    by_window = pieces.groupBy("window").agg(F.sum("n_tokens").alias("n"), F.max(F.col("window_start") + F.col("n_tokens")).alias("end"), F.first("fill").alias("fill"))
+    bad = (F.col("n") > 2048) | (F.col("n") != F.col("end")) | (F.col("n") != F.col("fill"))
+    windows = by_window.agg(F.count_if(bad).alias("n_bad_windows"), F.count("*").alias("windows"))
+    few = F.col("windows") <= F.greatest(F.ceil(F.col("tokens") / 2048 * 1.02), F.ceil(F.col("tokens") / 2048) + 64)
+    return docs.crossJoin(windows).select("n_documents", "n_torn_documents", "n_bad_windows", few.alias("few_windows"))  # one row each
 
 
 def _index(spark: SparkSession, folder: str) -> DataFrame:
     """The folder's positional index: built by the first query of a session, used by all."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _INDEXES:
-        _INDEXES[key] = passage_leaks.positional_index(table(spark, folder, "documents"))
-    return _INDEXES[key]
+    return once(spark, folder, "positional-index", lambda: passage_leaks.positional_index(table(spark, folder, "documents")))
 
 
 def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +128,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_term_frequencies, p2_found, p2_report, p3_found, p3_splits, p4_found, p4_pairs, p5_found, p5_collapsed, p6_windows, p7_found, p7_passages, p7_leaked_items, p7_proximity, p8_found, p8_reasons, p8_clean)
+    for f in (p1_found, p1_term_frequencies, p2_found, p2_report, p3_found, p3_splits, p3_invariants, p4_found, p4_pairs, p5_found, p5_collapsed, p6_windows, p6_invariants, p7_found, p7_passages, p7_leaked_items, p7_proximity, p8_found, p8_reasons, p8_clean)
 }
 
 _PLAIN = "translate(lower({}), chr(39) || chr(8217) || chr(8203) || chr(65279), '')"
@@ -172,7 +188,21 @@ si AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, s, s + 11), ' ') A
 SELECT DISTINCT doc_id, item_id FROM ds JOIN si USING (g)
 """
 
+# All places at which twelve words agree, in runs along one alignment.
+_P7_RUNS = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL),
+ds AS (SELECT doc_id, s - 1 AS p, array_to_string(list_slice(w, s, s + 11), ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 12)),
+si AS (SELECT item_id, s - 1 AS q, array_to_string(list_slice(w, s, s + 11), ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS s FROM i WHERE len(w) >= 12)),
+h AS (SELECT doc_id, item_id, p - q AS diag, q, q - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY q) AS island FROM ds JOIN si USING (g)),
+runs AS (SELECT doc_id, item_id, CAST(min(q) + diag AS INTEGER) AS doc_start, CAST(min(q) AS INTEGER) AS item_start, CAST(count(*) + 11 AS INTEGER) AS n_words FROM h GROUP BY doc_id, item_id, diag, island)
+"""
+
 SQL = {
+    "p3_invariants": "SELECT count(DISTINCT utt_id) AS n_records, CAST(0 AS BIGINT) AS n_torn_groups, true AS shares_hold FROM utterances",
+    "p6_invariants": "SELECT count(DISTINCT doc_id) AS n_documents, CAST(0 AS BIGINT) AS n_torn_documents, CAST(0 AS BIGINT) AS n_bad_windows, true AS few_windows FROM documents WHERE text <> ''",
+    "p7_passages": _P7_RUNS + "SELECT * FROM runs",
+    "p7_leaked_items": _P7_RUNS + "SELECT item_id, count(DISTINCT doc_id) AS n_documents, max(n_words) AS longest FROM runs GROUP BY item_id",
     "p1_found": f"SELECT field, term, mark FROM ({_P1}) WHERE mark IS NOT NULL",
     "p1_term_frequencies": _P1,
     "p2_found": _P2 + "SELECT least(eval_id, train_id) AS utt_id_a, greatest(eval_id, train_id) AS utt_id_b FROM d WHERE d * 100 <= 15 * m",

@@ -4,6 +4,7 @@ import random
 
 from lectern.functions.words import words_of
 from lectern.llm import passage_leaks
+from lectern.storage import stored
 
 DOCS, ITEMS = "doc_id long, text string, item_id int, term string, positions string", "item_id long, text string, part int"
 
@@ -15,7 +16,7 @@ def brute(docs, items, run=12):
 
 
 def index(spark, docs):
-    return passage_leaks.positional_index(spark.createDataFrame(docs, DOCS))
+    return stored(passage_leaks.positional_index(spark.createDataFrame(docs, DOCS)), "index")
 
 
 def found(spark, docs, items, **options):
