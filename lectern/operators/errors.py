@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.distance import alignment
-from lectern.functions.text import context_frame
+from lectern.functions.text import context_frame, tokens
 from lectern.storage import stored
 
 # Word lists that the category rules compare with.
@@ -77,6 +77,13 @@ def error_rows(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp") -> DataFram
     return ops.select("*", "e.*", context_frame(F.col(ref), F.col("e.ref_idx")).alias("ref_context")).drop("e")
 
 
+def with_word_time(errors: DataFrame, words: str, hyp_idx: str = "hyp_idx", out: str = "word_time_s") -> DataFrame:
+    """The start of the error's hypothesis word; NULL for deletions. ``words`` holds the recogniser's words
+    (w, start, ..), of which each may be several tokens, or none."""
+    starts = F.flatten(F.transform(words, lambda w: F.transform(tokens(w["w"]), lambda _: w["start"])))
+    return errors.withColumn(out, F.get(starts, F.col(hyp_idx)))
+
+
 def with_error_time(errors: DataFrame, keys: list[str], order: list[str], time: str, out: str = "time_s") -> DataFrame:
     """An error without a time takes that of the error before it in ``order``, 0 at the start."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

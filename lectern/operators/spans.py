@@ -12,7 +12,9 @@ def utterance_key(utt_id: Column) -> Column:
 
 
 def span_label(span: Column) -> Column:
-    return F.concat(F.coalesce(span["canonical"], F.lit("")), F.lit(">"), F.coalesce(span["perceived"], F.lit("")), F.lit("("), F.coalesce(span["err_type"], F.lit("")), F.lit(")"))
+    """canonical>perceived(type); NULL without a span."""
+    text = lambda c: F.coalesce(span[c], F.lit(""))
+    return F.when(span.isNotNull(), F.concat(text("canonical"), F.lit(">"), text("perceived"), F.lit("("), text("err_type"), F.lit(")")))
 
 
 def nearest_span(time: Column, spans: Column, tolerance: float) -> Column:

@@ -161,6 +161,24 @@ def jaro_winkler_pairs(spark: SparkSession, d: str) -> DataFrame:
     return w.join(scored, ["a", "b"]).select("error_id", "likeness")
 
 
+_RATIO = lambda a, b: f"coalesce({a} / nullif({b}, 0), 0.0)"
+_PE = "((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)"
+
+
+@query(
+    f"""WITH {_COINCIDING}, w AS (SELECT coincides, {_LETTERS.format('ref_word')} AS a, {_LETTERS.format('hyp_word')} AS b FROM co WHERE op = 'substitute'), l AS (SELECT coincides, jaro_winkler_similarity(a, b) >= 0.86 AS pred FROM w WHERE a <> '' AND b <> ''),
+    c AS (SELECT CAST(count(*) FILTER (pred AND coincides) AS DOUBLE) AS tp, CAST(count(*) FILTER (pred AND NOT coincides) AS DOUBLE) AS fp, CAST(count(*) FILTER (NOT pred AND coincides) AS DOUBLE) AS fn, CAST(count(*) FILTER (NOT pred AND NOT coincides) AS DOUBLE) AS tn, CAST(count(*) AS DOUBLE) AS n FROM l),
+    k AS (SELECT *, {_RATIO('(tp + tn)', 'n')} AS po, {_RATIO('tp', '(tp + fp)')} AS pr, {_RATIO('tp', '(tp + fn)')} AS re, {_PE} AS pe FROM c)
+    SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round_even(po, 3) AS agreement, round_even(pr, 3) AS precision, round_even(re, 3) AS recall, round_even({_RATIO('2 * pr * re', '(pr + re)')}, 3) AS f1, round_even({_RATIO('(po - pe)', '(1 - pe)')}, 3) AS kappa FROM k"""
+)
+def likeness_confusion_kappa(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the letters' likeness alone, from 0.86 on."""
+    letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
+    x = coinciding(spark, d).filter("op = 'substitute'").select(letters("ref_word").alias("a"), letters("hyp_word").alias("b"), "coincides").filter("a <> '' AND b <> ''")
+    by = x.groupBy("a", "b", "coincides").agg(F.count("*").alias("n")).withColumn("pred", jaro_winkler_similarity(F.col("a"), F.col("b")) >= 0.86)
+    return by.agg(*ops.agreement(F.col("pred"), F.col("coincides"), F.col("n")))
+
+
 @query()
 def phonetic_confusion_kappa(spark: SparkSession, d: str) -> DataFrame:
     """How well phonetic likeness predicts that a substitution coincides with a mispronounced phone."""

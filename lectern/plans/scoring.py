@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions.distance import alignment, cer
 from lectern.functions.text import normalize, tokens
-from lectern.plans.base import E, H, PAIRS, U, errors, hypotheses, norm, query, toks, top_pairs, utterances
+from lectern.operators.errors import error_rows, with_error_time, with_word_time
+from lectern.operators.results import append_new, of_speakers
+from lectern.operators.results import condition_summary as summarised
+from lectern.operators.sampling import hash_int
+from lectern.plans.base import E, H, PAIRS, U, errors, hypotheses, md5_int, norm, query, toks, top_pairs, utterances
 from lectern.sources.tables import table
+from lectern.storage import scratch
 
 
 @query(f"WITH {U} SELECT utt_id, {norm('text')} AS norm, len({toks('text')}) AS n_words FROM u WHERE text IS NOT NULL")
@@ -39,6 +44,15 @@ def cluster_key():
     return F.when((F.size(parts) >= 3) & F.col("utt_id").startswith("l2arctic"), F.get(parts, F.lit(1))).otherwise(F.col("utt_id"))
 
 
+@query(
+    "WITH c AS (SELECT DISTINCT utt_id, CASE WHEN len(string_split(utt_id, '_')) >= 3 AND starts_with(utt_id, 'l2arctic') THEN string_split(utt_id, '_')[2] END AS s FROM utterances WHERE utt_id IS NOT NULL) SELECT utt_id, s AS speaker FROM c WHERE s IN (SELECT DISTINCT s FROM c WHERE s IS NOT NULL ORDER BY s LIMIT 6)"
+)
+def selected_speakers(spark: SparkSession, d: str) -> DataFrame:
+    """The utterances of the first six speakers by name."""
+    u = table(spark, d, "utterances").filter("utt_id IS NOT NULL").select("utt_id", cluster_key().alias("speaker")).filter("speaker <> utt_id").distinct()
+    return of_speakers(u, "speaker")
+
+
 @query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def dimension_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Left lookups in small dimensions; unknown keys give NULL."""
@@ -63,6 +77,18 @@ def pair_cer(spark: SparkSession, d: str) -> DataFrame:
     return top_pairs(spark, d).select("hyp_id", F.round(cer(text("ref"), text("hyp")), 6).alias("cer"))
 
 
+@query(
+    f"WITH {PAIRS}, c AS (SELECT dataset, array_to_string(ref, ' ') AS r, array_to_string(hyp, ' ') AS hy FROM p WHERE pos = 0) "
+    f"SELECT dataset, CAST(sum(length(r)) AS BIGINT) AS n_chars, round(sum(CASE WHEN hy = '' THEN length(r) ELSE levenshtein({_CHARS.format('r')}, {_CHARS.format('hy')}) END) / sum(length(r)), 6) AS cer FROM c WHERE r <> '' GROUP BY ALL"
+)
+def corpus_cer(spark: SparkSession, d: str) -> DataFrame:
+    """Micro character error rate: sums over pairs with a reference, then one division."""
+    text = lambda c: F.array_join(c, " ")
+    p = top_pairs(spark, d).select("dataset", text("ref").alias("r"), text("hyp").alias("h")).filter("r <> ''")
+    chars = F.sum(F.length("r"))
+    return p.groupBy("dataset").agg(chars.alias("n_chars"), F.round(F.sum(F.levenshtein("r", "h")) / chars, 6).alias("cer"))
+
+
 _MICRO = "count(*) AS n, CAST(sum(edits) AS BIGINT) AS n_edits, CAST(sum(n_ref) AS BIGINT) AS n_words, round(sum(edits) / sum(n_ref), 6) AS wer"
 
 
@@ -91,10 +117,12 @@ def alignment_invariants(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def aligned_error_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Error rows derived from the aligned best hypotheses."""
-    from lectern.operators.errors import error_rows
-
-    return error_rows(top_pairs(spark, d).select("hyp_id", "utt_id", "ref", "hyp")).select("hyp_id", "utt_id", "align_pos", "op", "ref_word", "hyp_word", "ref_idx", "hyp_idx", "ref_context")
+    """Error rows derived from the aligned best hypotheses. Their time is the start of the hypothesis word, which
+    stands for a quarter of a second here, or for deletions that of the error before."""
+    pairs = top_pairs(spark, d).withColumn("words", F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("w"), (i * 0.25).alias("start"))))
+    rows = with_word_time(error_rows(pairs.select("hyp_id", "utt_id", "ref", "hyp", "words")), "words")
+    timed = with_error_time(rows, ["hyp_id"], ["align_pos"], "word_time_s")
+    return timed.select("hyp_id", "utt_id", "align_pos", "op", "ref_word", "hyp_word", "ref_idx", "hyp_idx", "ref_context", "time_s")
 
 
 @query()
@@ -125,6 +153,42 @@ def condition_summary(spark: SparkSession, d: str) -> DataFrame:
     return by.orderBy(F.asc_nulls_first("latency_ms"))
 
 
+_PROC = "duration_s * (" + md5_int("utt_id || '|' || condition") + " % 1000) / 1000"
+_SENT = f"""{_UTT_COND}, l AS (SELECT utt_id, condition, arg_min({norm('ref_sentence')}, error_id) AS r, arg_min({norm('hyp_sentence')}, error_id) AS hy FROM e GROUP BY ALL),
+ce AS (SELECT utt_id, condition, CASE WHEN r <> '' THEN (CASE WHEN hy = '' THEN length(r) ELSE levenshtein({_CHARS.format('r')}, {_CHARS.format('hy')}) END) / length(r) END AS cer FROM l),
+rs AS (SELECT r.*, duration_s, {_PROC} AS proc_s, CASE WHEN ce.utt_id IS NULL THEN (CASE WHEN n_ref > 0 THEN 0.0 END) ELSE cer END AS cer FROM r JOIN u USING (utt_id) LEFT JOIN ce USING (utt_id, condition))"""
+
+
+def decoding_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results with both rates and times. The log has sentences of utterances with errors only, the others' rate is
+    0; the tables hold no processing times: a hash of the key stands for the share of the duration."""
+    sentences = errors(spark, d, "ref_sentence", "hyp_sentence").groupBy("utt_id", "condition").agg(F.min_by(F.struct(normalize(F.col("ref_sentence")).alias("r"), normalize(F.col("hyp_sentence")).alias("h")), "error_id").alias("s"))
+    rates = sentences.select("utt_id", "condition", cer(F.col("s.r"), F.col("s.h")).alias("cer"), F.lit(True).alias("logged"))
+    x = results(spark, d).join(utterances(spark, d).select("utt_id", "duration_s"), "utt_id").join(rates, ["utt_id", "condition"], "left")
+    proc = F.col("duration_s") * (hash_int(F.col("utt_id"), F.col("condition")) % 1000) / 1000
+    return x.withColumn("cer", F.when(F.col("logged"), F.col("cer")).when(F.col("n_ref") > 0, 0.0)).withColumn("proc_s", proc)
+
+
+@query(
+    f"WITH {_SENT} SELECT condition, count(*) AS n, round(avg(wer), 6) AS mean_wer, round(avg(cer), 6) AS mean_cer, round(avg(CASE WHEN duration_s <> 0 THEN proc_s / duration_s ELSE 0 END), 6) AS mean_rtf, round(avg(proc_s), 6) AS mean_proc_s, "
+    "round(avg(CASE WHEN chunk_ms IS NOT NULL THEN proc_s / greatest(1, ceil(duration_s * 1000 / chunk_ms)) END), 6) AS mean_chunk_s, max(chunk_ms) AS latency_ms FROM rs GROUP BY condition"
+)
+def streaming_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Both error rates, real-time factor, processing times and latency of every decoding condition."""
+    by = summarised(decoding_results(spark, d))
+    return by.select("condition", "n", *[F.round(c, 6).alias(c) for c in ("mean_wer", "mean_cer", "mean_rtf", "mean_proc_s", "mean_chunk_s")], "latency_ms")
+
+
+@query(f"WITH {_UTT_COND} SELECT condition, count(*) AS n, CAST(sum(s + dl + i) AS BIGINT) AS n_errors FROM r GROUP BY condition")
+def resumed_results(spark: SparkSession, d: str) -> DataFrame:
+    """A run that stopped after the offline condition and was resumed: what is there already is not written again."""
+    path = scratch(spark, "results")
+    rows = results(spark, d).select("utt_id", "condition", (F.col("s") + F.col("dl") + F.col("i")).alias("n"))
+    append_new(rows.filter("condition = 'offline'"), path, ["utt_id", "condition"])
+    append_new(rows, path, ["utt_id", "condition"])
+    return spark.read.parquet(path).groupBy("condition").agg(F.count("*").alias("n"), F.sum("n").alias("n_errors")).select("condition", "n", "n_errors")
+
+
 @query(f"WITH {_UTT_COND}, m AS (SELECT condition, avg(wer) AS w FROM r GROUP BY condition) SELECT condition, round(w / (SELECT w FROM m WHERE condition = 'offline'), 6) AS times_offline FROM m")
 def degradation_vs_offline(spark: SparkSession, d: str) -> DataFrame:
     by = results(spark, d).groupBy("condition").agg(F.avg("wer").alias("w"))

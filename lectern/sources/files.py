@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +23,9 @@ def write_manifest(rows: DataFrame, path: str) -> DataFrame:
     return rows
 
 
-def read_manifest(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """JSON lines with the manifest's schema; blank lines are skipped, broken ones fail. With
-    ``strict`` an unknown key fails too."""
+def read_manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """JSON lines with the manifest's schema; blank lines are skipped, broken ones fail. Unless
+    ``strict`` is off an unknown key fails too; that takes a pass of its own."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
     if strict:
         known = [x.split()[0] for x in MANIFEST.split(", ")]
@@ -83,6 +88,12 @@ def read_csv(spark: SparkSession, path: str, schema: str = ERRORS) -> DataFrame:
     return spark.read.schema(schema).options(header=True, multiLine=True, escape='"', nullValue="\\N", emptyValue="", nanValue="NaN", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
+def write_results(rows: DataFrame, path: str) -> None:
+    """A result table as Parquet and as CSV, in two folders under ``path``. The CSV has flat columns only."""
+    rows.write.mode("overwrite").parquet(f"{path}/parquet")
+    write_csv(rows.select(*[c for c, kind in rows.dtypes if not kind.startswith(("array", "struct", "map", "binary"))]), f"{path}/csv")
+
+
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(sentence): stripped, empty lines dropped."""
     return spark.read.text(path).select(F.trim("value").alias("sentence")).filter("sentence <> ''")
@@ -111,14 +122,40 @@ def speaker_files(spark: SparkSession, root: str, folder: str, suffix: str) -> D
     return rows.select(F.regexp_extract(name, at, 1).alias("speaker"), F.regexp_extract(name, at, 2).alias("stem"), "value").filter("speaker <> ''")
 
 
+def archive_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """(archive, name, content): files with the suffix in every zip archive under ``root``, one archive a task at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in archive.namelist():
+                        if name.endswith(f".{suffix}"):
+                            yield pd.DataFrame({"archive": [path], "name": [name], "content": [archive.read(name)]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
+    return files.select("path", "content").mapInPandas(run, "archive string, name string, content binary")
+
+
 def first_present(wanted: list[str], available: list[str]) -> str | None:
     """The first of the wanted columns that is there."""
     return next((c for c in wanted if c in available), None)
 
 
-def without_heavy(rows: DataFrame) -> DataFrame:
-    """Without binary columns and nested ones, which a manifest's extras don't carry."""
-    return rows.select(*[c for c, kind in rows.dtypes if kind != "binary" and not kind.startswith(("array", "struct"))])
+def probed(rows: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """The wanted columns, each from the first of its candidates that is there, NULL if none is."""
+    found = {name: first_present(candidates, rows.columns) for name, candidates in wanted.items()}
+    return rows.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(name) for name, c in found.items()])
+
+
+def without_heavy(rows: DataFrame, most: int = 32) -> DataFrame:
+    """Without binary columns; lists and maps of more than ``most`` items become NULL."""
+
+    def light(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        return F.when(F.size(c) <= most, c).alias(name) if kind.startswith(("array", "map")) else c
+
+    return rows.select(*[light(c, kind) for c, kind in rows.dtypes if kind != "binary"])
 
 
 def markdown(rows: DataFrame, limit: int = 1000) -> str:

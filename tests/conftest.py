@@ -34,3 +34,28 @@ def data():
     if not os.path.isdir(DATA):
         pytest.skip("no test tables")
     return DATA
+
+
+def same_as_sql(spark, folder, query, sql):
+    """Runs a query as it is shipped, with AQE and generated code, and its SQL; the rows must be the same."""
+    import duckdb
+
+    shipped = {"spark.sql.adaptive.enabled": "true", "spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    before = {k: spark.conf.get(k) for k in shipped}
+    try:
+        for k, v in shipped.items():
+            spark.conf.set(k, v)
+        df = query(spark, folder)
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    with duckdb.connect() as con:
+        for name in os.listdir(folder):
+            con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{folder}/{name}')")
+        result = con.execute(sql)
+        columns = [c[0] for c in result.description]
+        want = result.fetchall()
+    assert sorted(df.columns) == sorted(columns)
+    ordered = lambda rows, names: sorted(repr(tuple(r[i] for i in sorted(range(len(names)), key=lambda i: names[i]))) for r in rows)
+    assert ordered(got, df.columns) == ordered(want, columns)

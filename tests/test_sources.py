@@ -13,10 +13,10 @@ SHORT = 'File type = "ooTextFile short"\n"TextGrid"\n0\n1\n<exists>\n1\n"Interva
 def test_manifest(spark, tmp_path):
     path = tmp_path / "m.jsonl"
     path.write_text('{"utt_id": "a", "text": "café", "extra": {"k": "1"}}\n\n{"utt_id": "b", "odd": 1}\n', encoding="utf-8")
-    got = files.read_manifest(spark, str(path)).collect()
+    got = files.read_manifest(spark, str(path), strict=False).collect()
     assert [(r.utt_id, r.text, r.extra) for r in got] == [("a", "café", {"k": "1"}), ("b", None, None)]
     with pytest.raises(ValueError):
-        files.read_manifest(spark, str(path), strict=True)
+        files.read_manifest(spark, str(path))
 
 
 def test_nbest_cache(spark, tmp_path):
@@ -67,3 +67,32 @@ def test_textgrids(spark, tmp_path):
     assert [p.err_type for p in got["b.TextGrid"]] == ["", "s"]
     assert got["c.TextGrid"][0].canonical == "é"
     assert textgrid.parse('"IntervalTier"\n"x"\n0\n1\nmany\n') == [] and textgrid.parse("") == []
+
+
+def test_results_archives_probing_and_heavy_columns(spark, tmp_path):
+    import zipfile
+
+    rows = spark.createDataFrame([("u", 1.5, list(range(40)), {"a": "b"}, bytearray(b"x")), ("v", None, [1], None, None)], "utt_id string, wer double, many array<int>, few map<string,string>, raw binary")
+    files.write_results(rows, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/parquet")).count() == 2
+    assert sorted(map(tuple, files.read_csv(spark, str(tmp_path / "out/csv"), "utt_id string, wer double").collect())) == [("u", 1.5), ("v", None)]
+    light = {r.utt_id: r for r in files.without_heavy(rows).collect()}
+    assert light["u"].many is None and light["u"].few == {"a": "b"} and light["v"].many == [1] and "raw" not in light["u"]
+    got = files.probed(rows, {"id": ["id", "utt_id"], "text": ["sentence", "text"]})
+    assert got.columns == ["id", "text"] and {r.id for r in got.collect()} == {"u", "v"}
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("ABC/transcript/one.txt", "hello")
+        z.writestr("ABC/wav/one.wav", "no")
+    assert [(r.name, bytes(r.content)) for r in files.archive_files(spark, str(tmp_path), "txt").collect()] == [("ABC/transcript/one.txt", b"hello")]
+
+
+def test_append_new(spark, tmp_path):
+    from lectern.operators.results import append_new, of_speakers
+
+    path = str(tmp_path / "r")
+    a = spark.createDataFrame([("u", "x", 1), ("v", "x", 2)], "utt_id string, condition string, n int")
+    append_new(a.limit(1), path, ["utt_id", "condition"])
+    append_new(a, path, ["utt_id", "condition"])
+    append_new(a, path, ["utt_id", "condition"])
+    assert sorted(r.n for r in spark.read.parquet(path).collect()) == [1, 2]
+    assert of_speakers(a, "utt_id", first=1).count() == 1 == of_speakers(a, "utt_id", ["v"]).count() and of_speakers(a, "utt_id", first=None).count() == 2
