@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,13 +38,24 @@ _TYPES = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(
 _NAMES = [x.split()[0] for x in _PIECES.split(", ")]
 
 
-def token_counter(path: str):
+#: Bytes of a vocabulary file; it is sent to the executors whole.
+MAX_VOCABULARY = 64 << 20
+
+
+def vocabulary(path: str) -> bytes:
+    """A rank file, read on the driver; its size is checked, for it is broadcast."""
+    if os.path.getsize(path) > MAX_VOCABULARY:
+        raise ValueError(f"{path} has more than {MAX_VOCABULARY} bytes")
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def token_counter(ranks: bytes):
     """A function that gives a text's number of tokens."""
     import tiktoken
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
     return lambda text: len(encoding.encode_ordinary(text))
 
 
@@ -111,9 +123,9 @@ def _pack(prefix: str, capacity: int, limit: int, sized, keep_open: bool):
     return run
 
 
-def _sized_documents(capacity: int, tokenizer: str):
+def _sized_documents(capacity: int, ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        count = token_counter(tokenizer)
+        count = token_counter(ranks.value)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = count(text)
@@ -135,7 +147,8 @@ def pack(documents: DataFrame, capacity: int = 2048, open_windows: int = 64, tok
     leftover windows, at least four times ``open_windows``.
     """
     texts = documents.filter("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long"), "text")
-    level = stored(texts.mapInArrow(_pack("p", capacity, open_windows, _sized_documents(capacity, tokenizer), True), _PIECES), "windows-0")
+    ranks = documents.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
+    level = stored(texts.mapInArrow(_pack("p", capacity, open_windows, _sized_documents(capacity, ranks), True), _PIECES), "windows-0")
     done = [level.filter("NOT is_open")]
     number = 0
     # each level leaves at most open_windows of merge_windows windows open, a quarter or less

@@ -13,7 +13,7 @@ SCHEMA = "doc_id long, text string, window int, piece string"
 def check(spark, rows, **options):
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), **options).collect()
     capacity = options.get("capacity", 2048)
-    count = packing.token_counter(packing.TOKENIZER)
+    count = packing.token_counter(packing.vocabulary(packing.TOKENIZER))
     windows, docs = {}, {}
     for r in got:
         windows.setdefault(r.window, []).append(r)
