@@ -39,6 +39,8 @@ OPS = T.ArrayType(T.StructType([T.StructField(*f) for f in _FIELDS]))
 def align(ref: list[str], hyp: list[str]) -> list[tuple]:
     """Edit operations of an optimal alignment in order; traced from the end, a deletion is taken
     before a match or substitution, and that before an insertion."""
+    if ref == hyp:
+        return []
     n, m = len(ref), len(hyp)
     cost = [list(range(m + 1))]
     for i in range(1, n + 1):
