@@ -244,7 +244,7 @@ _FAILURE = re.compile(
     I,
 )
 _FAILED = re.compile(rf"\b{_FAILS}\b", I)
-_EXCEPTION = re.compile(r"^\s*(?:[\w.]+\.)?\w+(?:Error|Exception)\b(?::|$)|\b\w+(?:Error|Exception): |^\s*[Tt]raceback \(most recent")
+_EXCEPTION = re.compile(r"^\s*(?:[\w.]+\.)?\w+(?:Error|Exception)\b(?::|$)|\b\w+(?:Error|Exception): |(?i:\btraceback \(most recent)")
 _WEAK = re.compile(r"\W*(?:o+ps|who+ps|uh[ -]?oh|(?:we(?: are|['’]re) )?(?:so )?sorry|entschuldigung|désolé|lo sentimos|spiacenti|desculpe)\W*", I)
 _MARKS = " \t\r-–•|>*#\ufeff\u00a0"
 _CODE_ALONE = re.compile(rf"\W*{_STATUS_CODE}\W*")

@@ -52,6 +52,7 @@ OTHER_RESIDUE = [
     ("error", "Errore 404: pagina non trovata"), ("error", "Página não encontrada"), ("error", "404 Pagina niet gevonden"), ("error", "Ошибка 404. Страница не найдена"), ("error", "找不到页面"), ("error", "404 ページが見つかりません"),
     ("error", "Błąd 404 - strona nie została znaleziona"), ("error", "Fel 404: Sidan kunde inte hittas"), ("error", "La pagina richiesta non esiste più. Torna alla home page."), ("error", "Der Dienst ist zurzeit nicht erreichbar. Bitte versuchen Sie es später erneut."),
     ("error", "404 Not Found. The page you requested could not be found on this server. It may have been moved, renamed or deleted, or the link may be out of date. Please check the address for typing errors, go back to the previous page, or use the search box at the top of this page. If you think this is a mistake, contact the webmaster and tell us how you came here."),
+    ("error", "© SOME PORTAL 429 TOO MANY REQUESTS TRACEBACK (MOST RECENT CALL LAST): KEYERROR: 'WORDS' GO BACK TO THE START PAGE."),
     ("scripts", "Per vedere questa pagina attiva JavaScript"), ("scripts", "Включите JavaScript, чтобы продолжить"), ("scripts", "请启用JavaScript"), ("scripts", "JavaScriptを有効にしてください"), ("scripts", "Ative o JavaScript para continuar"), ("scripts", "Zet JavaScript aan; zonder JavaScript werkt deze pagina niet."),
     ("placeholder", "Dear <name>, welcome."), ("placeholder", "Dear [Name], your order [Order Number] is on its way."), ("placeholder", "Hello [first_name], welcome."), ("placeholder", "We wrote to ##name## about it."), ("placeholder", "Dear *|FNAME|*, hello."), ("placeholder", "Title: TBD"), ("placeholder", "Report\nDate: ____\nRoom: 4"),
     ("filler", "Testo segnaposto per la pagina"), ("filler", "Overview Placeholder text goes in this box."),
