@@ -21,7 +21,7 @@ def ngram_counts(sentences: DataFrame, tokens: str, order: int) -> DataFrame:
 
     Only the grams of the highest order are made of the text. A gram that ends anywhere but in the padding is the
     end of one that is longer by a word, so lower orders are sums of the counts above them; the
-    gram of k start marks, which ends at place k, stands once more a sentence. Runs a job.
+    gram of k start marks, which ends at place k, stands once more a sentence. Each order's table is stored.
     """
     of = sentences.filter(F.size(tokens) > 0).select(padded(F.col(tokens), order).alias("t"))
     windows = F.transform(F.sequence(F.lit(1), F.size("t") - order + 1), lambda i: F.array_join(F.slice("t", i, order), " "))
@@ -31,8 +31,7 @@ def ngram_counts(sentences: DataFrame, tokens: str, order: int) -> DataFrame:
     for k in range(order - 1, 0, -1):
         marks = n_sentences.select(F.lit(" ".join([BOS] * k)).alias("gram"), "n")
         counts = counts.select(F.substring_index("gram", " ", -k).alias("gram"), "n").unionByName(marks).groupBy("gram").agg(F.sum("n").alias("n"))
-        if k > 1:
-            counts = stored(counts, f"{k}-grams")
+        counts = stored(counts, f"{k}-grams")
         out = out.unionByName(counts.select(F.lit(k).alias("k"), "gram", "n"))
     return out
 

@@ -96,7 +96,7 @@ def trained(spark: SparkSession, d: str) -> ngram.NGramModel:
         kept = corpus.kept(candidates(spark, d), evaluation(spark, d), "src", ["id", "sent_pos"])
         return ngram.ngram_counts(kept.select(F.split("norm", " ").alias("t")), "t", ORDER)
 
-    return ngram.NGramModel(once(spark, d, "ngram-counts", build), ORDER, ADD_K, WEIGHT)
+    return ngram.NGramModel(once(spark, d, "ngram-counts", build, store=False), ORDER, ADD_K, WEIGHT)
 
 
 @query(f"WITH {_TRAIN} SELECT k, gram, n FROM ng")

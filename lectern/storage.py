@@ -52,12 +52,13 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], store: bool = True) -> DataFrame:
     """The table ``name`` made from the data folder: stored at its first use and read by all later ones of
-    the session. Data folders are taken not to change meanwhile; ``release`` forgets all."""
+    the session. Data folders are taken not to change meanwhile; ``release`` forgets all. With ``store`` off what
+    ``build`` gives reads stored tables already."""
     key = (spark.sparkContext.applicationId, folder.rstrip("/"), name)
     if key not in _KEPT:
-        _KEPT[key] = stored(build(), name)
+        _KEPT[key] = stored(build(), name) if store else build()
     return _KEPT[key]
 
 
