@@ -233,10 +233,11 @@ def wav_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH r AS (SELECT * FROM utterances) SELECT dataset, count(*) AS n_rows, count(DISTINCT utt_id) AS n_utts, count(DISTINCT speaker) AS n_speakers, count(*) FILTER (trim(coalesce(text, '')) = '') AS n_empty, round(sum(duration_s) / 3600, 3) AS hours FROM r GROUP BY dataset"
+    "WITH r AS (SELECT * FROM utterances) SELECT dataset, count(*) AS n_rows, count(DISTINCT utt_id) AS n_utts, count(DISTINCT speaker) AS n_speakers, count(*) FILTER (trim(coalesce(text, '')) = '') AS n_empty, round(sum(duration_s) / 3600, 3) AS hours, count(*) FILTER (utt_id IS NULL OR text IS NULL) AS n_skipped, count(DISTINCT accent) AS n_accents FROM r GROUP BY dataset"
 )
 def integrity_report(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "utterances").groupBy("dataset").agg(
-        F.count("*").alias("n_rows"), F.count_distinct("utt_id").alias("n_utts"), F.count_distinct("speaker").alias("n_speakers"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("n_empty"), F.round(F.sum("duration_s") / 3600, 3).alias("hours")
-    )
+        F.count("*").alias("n_rows"), F.count_distinct("utt_id").alias("n_utts"), F.count_distinct("speaker").alias("n_speakers"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("n_empty"), F.round(F.sum("duration_s") / 3600, 3).alias("hours"),
+        F.count_if(F.col("utt_id").isNull() | F.col("text").isNull()).alias("n_skipped"), F.count_distinct("accent").alias("n_accents"),
+    )
 
