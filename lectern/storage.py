@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str, str], tuple[DataFrame, list[str]]] = {}
 _PATHS: dict[str, list[str]] = {}
 
 
@@ -54,12 +54,19 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], store: bool = True) -> DataFrame:
     """The table ``name`` made from the data folder: stored at its first use and read by all later ones of
-    the session. Data folders are taken not to change meanwhile; ``release`` forgets all. With ``store`` off what
+    the session, made again if its files are gone. Data folders are taken not to change meanwhile; ``release``
+    forgets all. With ``store`` off what
     ``build`` gives reads stored tables already."""
-    key = (spark.sparkContext.applicationId, folder.rstrip("/"), name)
-    if key not in _KEPT:
-        _KEPT[key] = stored(build(), name) if store else build()
-    return _KEPT[key]
+    own = spark.sparkContext.applicationId
+    key = (own, folder.rstrip("/"), name)
+    if key in _KEPT:
+        table, paths = _KEPT[key]
+        if all(files.exists(at) for at, files in (_path(spark, p) for p in paths)):
+            return table
+    before = len(_PATHS.get(own, []))
+    table = stored(build(), name) if store else build()
+    _KEPT[key] = table, _PATHS.get(own, [])[before:]
+    return table
 
 
 def release(spark: SparkSession) -> int:

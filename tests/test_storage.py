@@ -1,4 +1,5 @@
 import os
+import shutil
 
 import pytest
 
@@ -19,6 +20,8 @@ def test_once_and_release(spark, tmp_path):
     assert storage.release(spark) >= 2 and not os.path.exists(path.removeprefix("file://"))
     storage.once(spark, "/data", "numbers", build)
     assert built == [1, 1]
+    shutil.rmtree(storage.shared_folder(spark).removeprefix("file://") + f"/lectern-{spark.sparkContext.applicationId}")  # someone cleans up
+    assert storage.once(spark, "/data", "numbers", build).count() == 3 and built == [1, 1, 1]
 
 
 def test_a_cluster_needs_a_shared_folder():
