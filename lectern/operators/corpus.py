@@ -15,8 +15,8 @@ def sentences(rows: DataFrame, text: str) -> DataFrame:
 
 
 def _normalised(candidates: DataFrame) -> DataFrame:
-    norm = normalize(F.col("sentence"))
-    return candidates.withColumn("norm", norm).withColumn("_n", F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1))
+    # a generator of one row: what follows reads the normalised text and doesn't repeat the work
+    return candidates.select("*", F.explode(F.array(normalize(F.col("sentence")))).alias("norm")).withColumn("_n", F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1))
 
 
 def _excluded(evaluation: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from lectern.functions.text import normalize, tokens
 from lectern.operators import corpus, ngram, rescoring, sampling
 from lectern.plans.base import PAIRS, H, U, hypotheses, md5_int, norm, query, scored_hypotheses, toks, utterances
 from lectern.plans.scoring import cluster_key
-from lectern.sources.tables import table
+from lectern.sources.tables import dealt, table
 from lectern.storage import once, scratch, stored
 
 ORDER, ADD_K, WEIGHT, SEED, DEV_SHARE, FUSION = 4, 0.1, 0.7, "1234", 0.34, 0.3
@@ -30,7 +30,7 @@ b AS (SELECT *, CASE WHEN k < 2 THEN 'too_short' WHEN norm IN (SELECT norm FROM
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of two sources in a fixed order: the manifest's training texts, then the documents' lines."""
     u = utterances(spark, d).filter("lower(trim(split)) = 'train' AND text IS NOT NULL").select(F.lit(0).alias("src"), F.col("utt_id").alias("id"), F.lit(0).alias("sent_pos"), F.trim("text", F.lit(" \t\n\r")).alias("sentence")).filter("sentence <> ''")
-    docs = corpus.sentences(table(spark, d, "documents").select("doc_id", "text"), "text")
+    docs = corpus.sentences(dealt(table(spark, d, "documents").select("doc_id", "text")), "text")
     return u.unionByName(docs.select(F.lit(1).alias("src"), F.col("doc_id").cast("string").alias("id"), "sent_pos", "sentence"))
 
 

@@ -7,3 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows for costly work by row: where the input has fewer splits than there are cores, as small tables do, they
+    are dealt over all cores; larger ones stay as they are read. Plans only, runs no job."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
