@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import format_duplicates, group_split, nearest_time, packing, passage_leaks, residue, split_overlap, term_frequency
-from lectern.sources.tables import table
+from lectern.sources.tables import dealt, table
 from lectern.storage import once
 
 ERROR_FIELDS = ["ref_word", "hyp_word", "pattern_freq"]
@@ -75,8 +75,12 @@ def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return _copies(spark, folder).groupBy(F.col("first_id").alias("first_hyp_id")).agg(F.count("*").alias("n_copies"))
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return dealt(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def p6_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"))
+    return packing.pack(_documents(spark, folder))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,7 +101,7 @@ def p6_invariants(spark: SparkSession, folder: str) -> DataFrame:
 
 def _index(spark: SparkSession, folder: str) -> DataFrame:
     """The folder's positional index: built by the first query of a session, used by all."""
-    return once(spark, folder, "positional-index", lambda: passage_leaks.positional_index(table(spark, folder, "documents")))
+    return once(spark, folder, "positional-index", lambda: passage_leaks.positional_index(_documents(spark, folder)))
 
 
 def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +122,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    return residue.residue(table(spark, folder, "documents"))
+    return residue.residue(_documents(spark, folder))
 
 
 def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
