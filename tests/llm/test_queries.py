@@ -11,6 +11,7 @@ def test_query_and_sql_agree(spark, data, name):
     same_as_sql(spark, data, QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+# p3_splits and p6_windows run within their invariants.
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"p3_splits", "p6_windows"}))
 def test_query_without_sql_runs(spark, data, name):
     assert QUERIES[name](spark, data).count() >= 0
