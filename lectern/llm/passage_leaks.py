@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions.words import words_of
 
-SEGMENT_TOKENS = 500_000
+SEGMENT_TOKENS = 100_000
+#: Parquet options for the index: rows are large, and writer and reader hold a row group's rows at once.
+STORAGE = {"parquet.block.row.count.limit": 4}
 #: doc_ids, lengths: of the segment's documents. sizes: of each term's list of (document, number of
 #: positions), the lists of all terms one after another in docs and counts, and their positions.
 _INDEX = "doc_ids array<long>, lengths array<int>, terms array<string>, sizes array<int>, docs array<int>, counts array<int>, positions array<int>"

@@ -101,7 +101,7 @@ def p6_invariants(spark: SparkSession, folder: str) -> DataFrame:
 
 def _index(spark: SparkSession, folder: str) -> DataFrame:
     """The folder's positional index: built by the first query of a session, used by all."""
-    return once(spark, folder, "positional-index", lambda: passage_leaks.positional_index(_documents(spark, folder)))
+    return once(spark, folder, "positional-index", lambda: passage_leaks.positional_index(_documents(spark, folder)), **passage_leaks.STORAGE)
 
 
 def p7_passages(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,20 +39,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: int) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back. This runs a job.
 
     The plan is cut there: what follows reads files that any executor can read, so the loss of
-    one executor costs its running tasks only.
+    one executor costs its running tasks only. ``options`` go to the Parquet writer.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], store: bool = True) -> DataFrame:
+def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame], store: bool = True, **options: int) -> DataFrame:
     """The table ``name`` made from the data folder: stored at its first use and read by all later ones of
     the session, made again if its files are gone. Data folders are taken not to change meanwhile; ``release``
     forgets all. With ``store`` off what
@@ -64,7 +64,7 @@ def once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFr
         if all(files.exists(at) for at, files in (_path(spark, p) for p in paths)):
             return table
     before = len(_PATHS.get(own, []))
-    table = stored(build(), name) if store else build()
+    table = stored(build(), name, **options) if store else build()
     _KEPT[key] = table, _PATHS.get(own, [])[before:]
     return table
 

@@ -114,3 +114,16 @@ def test_one_index_serves_many_searches_and_segments(spark, monkeypatch):
     for part in (items[:6], items[6:], items):
         got = passage_leaks.phrase_matches(of, spark.createDataFrame(part, ITEMS)).collect()
         assert {(r.doc_id, r.item_id) for r in got} == brute(docs, part)
+
+
+def test_few_segments_of_the_stored_index_are_held_at_once(spark, monkeypatch, tmp_path):
+    import pyarrow.parquet as pq
+
+    from lectern.llm import queries
+
+    monkeypatch.setattr(passage_leaks, "SEGMENT_TOKENS", 90)
+    docs, _ = make(7)
+    spark.createDataFrame(docs, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in queries._index(spark, str(tmp_path)).inputFiles()]
+    sizes = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) > 12 and max(sizes) <= 4
