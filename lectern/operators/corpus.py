@@ -53,6 +53,13 @@ def kept(candidates: DataFrame, evaluation: DataFrame, source_order: str, order:
     return first.join(_excluded(evaluation), "norm", "left_anti").select("_first.*", "norm")
 
 
+def kept_texts(candidates: DataFrame, evaluation: DataFrame, min_words: int = 2) -> DataFrame:
+    """(norm): the texts of ``kept``, which need no order; by one aggregate, in which an evaluation sentence is a mark."""
+    of = _normalised(candidates).filter(F.col("_n") >= min_words).select("norm", F.lit(0).alias("_x"))
+    both = of.unionByName(evaluation.select(normalize(F.col("sentence")).alias("norm"), F.lit(1).alias("_x")))
+    return both.groupBy("norm").agg(F.max("_x").alias("_x")).filter("_x = 0").select("norm")
+
+
 def leaked(corpus: DataFrame, evaluation: DataFrame) -> DataFrame:
     """Normalised sentences that both hold; must be empty before a model is trained."""
     return corpus.select(normalize(F.col("sentence")).alias("norm")).intersect(evaluation.select(normalize(F.col("sentence")).alias("norm"))).filter("norm <> ''")

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _KEPT: dict[tuple[str, str, str], tuple[DataFrame, list[str]]] = {}
 _PATHS: dict[str, list[str]] = {}
 
@@ -48,7 +49,12 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, **op
     spark = df.sparkSession
     path = scratch(spark, name)
     writer = df.write.mode("overwrite").options(**options)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # nothing reads the job's shuffle files again; the driver may keep them for long
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 

@@ -175,3 +175,32 @@ def test_corpus_model_against_plain_python(spark, tmp_path):
         logprob += math.log(p)
     got = language.interpolated_logprob(spark, str(tmp_path)).collect()
     assert [r.utt_id for r in got] == ["e"] and abs(got[0].logprob - logprob) < 1e-5
+
+
+def test_counts_of_asked_grams_only(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{r.randrange(40)}" for _ in range(n))
+    corpus_, asked = [text(r.randrange(0, 12)) for _ in range(300)] + ["é ü"], [text(r.randrange(0, 9)) for _ in range(20)] + ["é zz"]
+    sents, asks = (spark.createDataFrame([(t,) for t in x], "norm string") for x in (corpus_, asked))
+    grams = lambda t, k: [" ".join(p[i : i + k]) for p in [["<s>"] * 3 + t.split() + ["</s>"]] for i in range(len(p) - k + 1)]
+    want = Counter((k, g) for t in corpus_ if t for k in range(1, 5) for g in grams(t, k))
+    got = {(x.k, x.gram): x.n for x in ngram.asked_counts(sents, asks, "norm", 4).collect()}
+    assert got.items() <= want.items() and len(got) < len(want) / 2
+    assert {g for g in want if g[0] == 1} | {(k, g) for t in asked if t for k in range(2, 5) for g in grams(t, k) if (k, g) in want} <= set(got)
+    full = {(x.k, x.gram): x.n for x in ngram.asked_counts(sents, asks, "norm", 4, max_bits=1).collect()}
+    assert set(got) <= set(full) and full.items() <= want.items()
+    assert ngram.asked_counts(sents.limit(0), asks, "norm", 4).collect() == [] and {x.k for x in ngram.asked_counts(sents, asks.limit(0), "norm", 4).collect()} == {1}
+
+
+def test_scores_of_texts_are_those_of_the_joins(spark):
+    r = random.Random(6)
+    text = lambda n, v=30: " ".join(f"w{r.randrange(v)}" for _ in range(n))
+    sents = spark.createDataFrame([(text(r.randrange(1, 12)),) for _ in range(200)], "norm string")
+    asked = spark.createDataFrame([(i * 7, text(r.randrange(0, 9), 40)) for i in range(60)], "id long, norm string")
+    words = lambda d: d.withColumn("t", F.filter(F.split("norm", " "), lambda t: t != ""))
+    plain = ngram.NGramModel(ngram.ngram_counts(words(sents), "t", 4))
+    model = ngram.NGramModel(ngram.asked_counts(sents, asked, "norm", 4))
+    want = {x.id: x for x in plain.logprobs(words(asked), "id", "t").collect()}
+    for rows, at_once in ((asked, 250_000), (asked, 100), (asked.filter("norm = ''"), 100), (asked.limit(0), 100)):
+        got = {x.id: x for x in model.logprobs_of_texts(rows, "id", "norm", at_once).collect()}
+        assert len(got) == rows.count() and all(abs(x.logprob - want[i].logprob) < 1e-9 and x.n_tokens == want[i].n_tokens for i, x in got.items())
