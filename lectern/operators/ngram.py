@@ -75,7 +75,7 @@ class _Grams:
         codes, n = self.codes, len(self.words)
         ids = codes[at]
         for j in range(1, k):
-            ids = np.unique(ids * n + codes[at + j], return_inverse=True)[1]
+            ids = (np.unique(ids, return_inverse=True)[1] if j > 1 else ids) * n + codes[at + j]
         _, first, ids, n_of = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
         return at[first], ids, n_of
 
